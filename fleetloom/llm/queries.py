@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.functions.geo import epoch_us, usable
-from fleetloom.llm import history, runs
+from fleetloom.llm import encode, history, leaks, runs, truncation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,48 @@ def p6_exact_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_exact_runs": p6_exact_runs}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(_table(spark, sf_dir, "documents"))
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose ids don't decode to their text: none."""
+    documents = _table(spark, sf_dir, "documents")
+    back = encode.decode(encode.encode(documents)).withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").where("text <> decoded").select("doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, into how many documents."""
+    found = leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("doc_count"), F.max("word_count").alias("most_words"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_texts(_table(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_rates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "p8_ids": p8_ids,
+    "p8_round_trip": p8_round_trip,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
+    "p1_found": p1_found,
+    "p6_found": p6_found,
+    "p6_exact_runs": p6_exact_runs,
+}
 SQL = {
+    "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
     "p6_exact_runs": """
 WITH usable AS (
   SELECT device_serial, event_timestamp AS ts, arg_min(latitude, (ingested_at, row_id)) AS latitude, arg_min(longitude, (ingested_at, row_id)) AS longitude
