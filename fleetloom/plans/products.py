@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.operators import classify, products
 from fleetloom.operators.classify import LINEAGE, PROTOCOL, raw_name
+from fleetloom.plans import service
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +140,21 @@ def batch_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs(spark, sf_dir).groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count"), F.countDistinct("source_file").alias("file_count"))
 
 
+def api_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts per normalised day, from the stored summaries of all loads."""
+    return service.quality_rows(spark.read.parquet(f"{sf_dir}/data_quality_summary.parquet"))
+
+
+def api_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily summaries of a period."""
+    return service.daily_rows(daily_summary_of_silver(spark, sf_dir), date(2025, 2, 1), date(2025, 2, 14)).select("event_date", "device_serial", "message_count", "maximum_speed")
+
+
+def api_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every device's plottable points of a day."""
+    return service.route_statistics(service.route_rows(spark.read.parquet(f"{sf_dir}/device_route_points.parquet"), date(2025, 2, 1)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize": normalized,
     "telemetry_events": telemetry,
@@ -161,6 +178,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "upsert_merge": upsert_merge,
     "replace_partition": replace_partition,
     "batch_confirmation": batch_confirmation,
+    "api_quality": api_quality,
+    "api_daily": api_daily,
+    "api_route": api_route,
 }
 
 # --- SQL -----------------------------------------------------------------
@@ -318,5 +338,17 @@ SQL: dict[str, str] = (
         "batch_confirmation": "SELECT batch_id, count(*) AS row_count, count(DISTINCT source_file) AS file_count FROM tracker_logs GROUP BY batch_id",
     }
 )
+_COUNTS = ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in service.COUNTS)
+SQL |= {
+    "api_quality": f"""
+SELECT *, accepted_event_count + rejected_event_count AS total_event_count,
+  CASE WHEN accepted_event_count + rejected_event_count > 0 THEN round_even(rejected_event_count::DOUBLE / (accepted_event_count + rejected_event_count) * 100, 4) ELSE 0.0::DOUBLE END AS rejection_percentage
+FROM (SELECT coalesce(CASE WHEN regexp_full_match(metric_date, '\\s*[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?\\s*') THEN strftime(TRY_CAST(metric_date AS TIMESTAMP), '%Y-%m-%d') END, 'unknown') AS metric_date, {_COUNTS}
+  FROM data_quality_summary GROUP BY 1)""",
+    "api_daily": f"WITH {_dedup('telemetry_events', 'unique_telemetry')} SELECT event_date, device_serial, count(*) AS message_count, max(speed) AS maximum_speed FROM unique_telemetry WHERE event_date BETWEEN '2025-02-01' AND '2025-02-14' GROUP BY ALL",
+    "api_route": """
+SELECT event_date, device_serial, count(*) AS point_count, arg_min(event_timestamp, point_sequence) AS start_at, arg_max(event_timestamp, point_sequence) AS end_at, max(speed) AS maximum_speed
+FROM device_route_points WHERE event_date = '2025-02-01' AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0) GROUP BY ALL""",
+}
 # after replacing the days of the newest batch, the table is that of a full rebuild
 SQL["replace_partition"] = SQL["daily_summary"]
