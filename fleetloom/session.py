@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +53,21 @@ def checkpointed(df):
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send the package's code to the executors, once per application.
+
+    The archive is only the driver's upload; Spark serves it to every executor,
+    those that join later included.
+    """
+    context = spark.sparkContext
+    if spark.conf.get("fleetloom.shipped", None) != context.applicationId:
+        root = Path(__file__).resolve().parent
+        target = os.path.join(tempfile.mkdtemp(prefix="fleetloom-"), "fleetloom.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(Path(root.name) / f.relative_to(root)))
+        context.addPyFile(target)
+        spark.conf.set("fleetloom.shipped", context.applicationId)
+    return spark
