@@ -195,7 +195,7 @@ class History:
         a copy is one of the original as well.
         """
         ranged = lambda df: df.withColumn("key_range", F.pmod(F.xxhash64("device", "type", "us"), F.lit(self.ranges)).cast("int"))
-        keyless = logs.join(batch_order(logs), "batch_id").select(
+        keyless = logs.select("batch_id", "row_id").join(batch_order(logs), "batch_id").select(
             *[F.lit(None).cast(t).alias(n) for n, t in (("device", "string"), ("type", "string"), ("us", "bigint"), ("counter", "double"), ("readings", "string"))],
             "ord", "batch_id", "row_id",
         )
