@@ -17,6 +17,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fleetloom.session import spread
+
 #: Folder of the vocabulary files, the same on every machine.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -65,7 +67,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
             lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, ids))], pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "ids"])
 
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def encode_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetloom.functions.streams import record_batches
+from fleetloom.session import checkpointed, spread
 
 
 @dataclass(frozen=True)
@@ -108,7 +109,18 @@ def close(a: str, b: str) -> bool:
     most = 0 if min(n, m) < 3 else 1 if min(n, m) < 8 else 2
     if abs(n - m) > most or (a[0] != b[0] and a[-1] != b[-1]):
         return False
-    # edits with swapped neighbours, two rows back
+    i, most_i = 0, min(n, m)
+    while i < most_i and a[i] == b[i]:
+        i += 1
+    while n > i and m > i and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b = a[i:n], b[i:m]
+    if max(len(a), len(b)) <= most or (most and a == b[::-1] and len(a) == 2):
+        return True
+    if most < 2:
+        return False
+    n, m = len(a), len(b)
+    # two edits, far apart: rows of the edit table, swapped neighbours two rows back
     before: list[int] = []
     last = list(range(m + 1))
     for i in range(1, n + 1):
@@ -134,7 +146,14 @@ class Item:
         self.at: dict[str, int] = defaultdict(int)
         for i, w in enumerate(self.words):
             self.at[w] |= 1 << i
-        self.unique = list(dict.fromkeys(self.words))
+        # a damaged word keeps its first or its last letter
+        self.first: dict[str, list[str]] = defaultdict(list)
+        self.last: dict[str, list[str]] = defaultdict(list)
+        for w in dict.fromkeys(self.words):
+            if len(w) > 2:
+                self.first[w[0]].append(w)
+                if w[0] != w[-1]:
+                    self.last[w[-1]].append(w)
         self.masks: dict[str, int] = {}
 
     def mask(self, word: str) -> int:
@@ -142,8 +161,11 @@ class Item:
         known = self.masks.get(word)
         if known is None:
             known = self.at.get(word, 0)
-            if not known:
-                for w in self.unique:
+            if not known and len(word) > 2:
+                for w in self.first.get(word[0], ()):
+                    if close(w, word):
+                        known |= self.at[w]
+                for w in self.last.get(word[-1], ()):
                     if close(w, word):
                         known |= self.at[w]
             if len(self.masks) < 50_000:
@@ -270,7 +292,7 @@ def _judge(doc: int, item_id: int, matched: list[int], item: Item, rules: Rules)
 def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per document, item and sentence of its passage: the words matched in order."""
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    docs = spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id")
     items = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL")
     letters = items.agg(F.sum(F.length("passage"))).first()[0] or 0
     if letters <= rules.broadcast_fingerprints:
@@ -322,7 +344,7 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
 def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(doc_id, item_id, word_count) of documents that carry enough of a passage, formulas aside."""
     spark = documents.sparkSession
-    carried = carried_sentences(documents, items, rules)
+    carried = checkpointed(carried_sentences(documents, items, rules))  # few rows, read twice
 
     def split(batches):
         schema = pa.schema([("sentence", pa.string()), ("item_id", pa.int64())])

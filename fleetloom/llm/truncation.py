@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.session import checkpointed, spread
+
 # fixed values: closing marks of each opening mark
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
 CLOSERS = frozenset(PAIRS.values())
@@ -103,7 +105,7 @@ def endings(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "source", "length", "ending", "cut"],
             )
 
-    return documents.select(F.col("doc_id").cast("bigint"), "source", "text").mapInArrow(run, ENDINGS)
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "source", "text"), "doc_id").mapInArrow(run, ENDINGS)
 
 
 def baselines(found: DataFrame) -> DataFrame:
@@ -117,7 +119,7 @@ def baselines(found: DataFrame) -> DataFrame:
 
 def judged(documents: DataFrame) -> DataFrame:
     """Every document with its ending and the verdict ``cut``."""
-    found = endings(documents)
+    found = checkpointed(endings(documents))  # a few bytes per text, read twice
     base = baselines(found).withColumnRenamed("source", "__source")
     at_limit = F.col("length") == F.col("longest")
     return (
