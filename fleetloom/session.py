@@ -55,6 +55,16 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+def spread(df, key: str):
+    """The rows over all cores where few files would leave most of them idle.
+
+    Costs a shuffle of the rows, so only inputs with fewer partitions than cores
+    take it: those are small, or badly laid out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Send the package's code to the executors, once per application.
 
