@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.functions.streams import record_batches
 from fleetloom.functions.timeparse import with_readings
 
 START, PLAIN, QUOTED, CLOSED, BROKEN = range(5)
@@ -193,3 +194,93 @@ def rejected(lines: DataFrame, logs: DataFrame) -> DataFrame:
     """
     bad = judged_lines(lines).select("record_key", "reason").unionByName(judged_logs(logs)).where("reason IS NOT NULL")
     return bad.groupBy("record_key").agg(F.min("reason").alias("reason"))
+
+
+# --- raw files --------------------------------------------------------------
+
+_LINES = "source_file string, block bigint, text string"
+_FRAGMENTS = "source_file string, block bigint, at bigint, part bigint, line_text string"
+
+
+def _after_line(line: str, state: int) -> int:
+    """Whether the next line begins a record (START) or goes on inside a quote (QUOTED)."""
+    return QUOTED if effect(line, state).state == QUOTED else START
+
+
+def raw_lines(spark, path: str) -> DataFrame:
+    """Lines of raw files with the file split that they lie in, in order within it."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text")
+    )
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """Records of raw files, whose quoted fields may hold line breaks: source_file, line_key, line_text.
+
+    Each file split is summarised as the function from the state before it to
+    the state after it. The summaries of a file, a row per split, compose to the
+    state and the open record at which each split starts; then the splits emit
+    their records independently, and only records that cross a split meet again.
+    A record that is broken ends with its line; an unclosed quote takes in the
+    following lines up to the next quote.
+    """
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, list[int]] = {}
+        for b in batches:
+            for file, block, text in zip(*(c.to_pylist() for c in b.columns)):
+                # exit states for both entries, and whether a record began inside for each
+                s = seen.setdefault((file, block), [START, QUOTED, 0, 0])
+                for entry in (0, 1):
+                    if s[entry] == START:
+                        s[2 + entry] = 1
+                    s[entry] = _after_line(text, s[entry])
+        rows = [(f, b, *s) for (f, b), s in seen.items()]
+        if rows:
+            f, b, *s = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(b, pa.int64()), *(pa.array(x, pa.int32()) for x in s)], names=["source_file", "block", "s0", "s1", "n0", "n1"])
+
+    def enter(pdf):
+        pdf = pdf.sort_values("block")
+        state, head, out = START, 0, []
+        for block, s0, s1, n0, n1 in zip(pdf["block"], pdf["s0"], pdf["s1"], pdf["n0"], pdf["n1"]):
+            out.append((pdf["source_file"].iloc[0], block, state == QUOTED, head))
+            state, began = (s0, n0) if state == START else (s1, n1)
+            head = block if began else head
+        return type(pdf)(out, columns=["source_file", "block", "inside", "head"])
+
+    summaries = lines.mapInArrow(summarise, "source_file string, block bigint, s0 int, s1 int, n0 int, n1 int")
+    entries = summaries.groupBy("source_file").applyInPandas(enter, "source_file string, block bigint, inside boolean, head bigint")
+    # lines of a split stay in order: the join's other side is a row per split
+    ordered = lines.withColumn("row", F.monotonically_increasing_id()).join(entries, ["source_file", "block"])
+    ordered = ordered.repartition("source_file", "block").sortWithinPartitions("source_file", "block", "row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("source_file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("part", pa.int64()), ("line_text", pa.string())])
+
+        def rows():
+            where, state, begun, at, held = None, START, 0, 0, []
+            for b in batches:
+                for file, block, text, inside, head in zip(*(c.to_pylist() for c in b.columns)):
+                    if (file, block) != where:
+                        if held:
+                            yield where[0], begun, -1, where[1], "\n".join(held)
+                        where, state, begun, at, held = (file, block), QUOTED if inside else START, head, 0, []
+                    if state == START:
+                        begun, at = block, at + 1
+                    held.append(text)
+                    state = _after_line(text, state)
+                    if state == START:
+                        # a record from an earlier split is known by that split alone
+                        yield file, begun, at if begun == block and at else -1, block, "\n".join(held)
+                        held = []
+            if held:
+                yield where[0], begun, -1, where[1], "\n".join(held)
+
+        yield from record_batches(rows(), schema)
+
+    fragments = ordered.select("source_file", "block", "text", "inside", "head").mapInArrow(cut, _FRAGMENTS)
+    key = F.concat_ws("#", "source_file", F.col("block").cast("string"), F.col("at").cast("string")).alias("line_key")
+    whole = fragments.where("at > 0").select("source_file", key, "line_text")
+    crossing = fragments.where("at < 0").groupBy("source_file", "block", "at").agg(F.sort_array(F.collect_list(F.struct("part", "line_text"))).alias("parts"))
+    return whole.unionByName(crossing.select("source_file", key, F.array_join(F.col("parts.line_text"), "\n").alias("line_text")))

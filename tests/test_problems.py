@@ -85,6 +85,24 @@ def test_reasons(spark):
     assert rejects.rejected(lines.limit(0), logs.limit(0)).count() == 0
 
 
+def test_records_of_files_over_splits(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [[rng.choice(["a", "", 'q"q', "line\nbreak", "x" * rng.randint(0, 90), "two\n\nbreaks, and comma"]) for _ in range(rng.randint(1, 4))] for _ in range(300)]
+    rows = [r for r in rows if r != [""]]
+    for name, part in (("a", rows[:200]), ("b", rows[200:])):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows(part)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        lines = rejects.raw_lines(spark, str(tmp_path))
+        got = rejects.records(lines).collect()
+        assert lines.select("block").distinct().count() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(rejects.fields(r["line_text"]) for r in got) == sorted(rows) and len({r["line_key"] for r in got}) == len(rows)
+
+
 # --- lateness --------------------------------------------------------------
 
 LATE = "batch_id string, row_id string, source_file string, ingestion_date string, TM_STAMP string, DATA_SERVIDOR string, `S/N ou IMEI` string, verdict string, source string"
