@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.functions.geo import epoch_us, usable
 from fleetloom.llm import encode, history, leaks, runs, truncation
+from fleetloom.plans import time_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,34 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(_table(spark, sf_dir, "documents"))
 
 
+def _same(c: str) -> str:
+    """SQL for: two readings agree up to writing, last digit or a lost value."""
+    a, b = (f"replace(upper(trim(coalesce({x}.\"{c}\", ''))), ',', '.')" for x in "ab")
+    lost = ", ".join(f"'{x}'" for x in sorted(history.LOST))
+    x, y = f"TRY_CAST({a} AS DOUBLE)", f"TRY_CAST({b} AS DOUBLE)"
+    digits = f"least(length(split_part({a}, '.', 2)), length(split_part({b}, '.', 2)))"
+    return f"({a} = {b} OR {a} IN ({lost}) OR {b} IN ({lost}) OR coalesce({x} = {y} OR {digits} > 0 AND abs({x} - {y}) <= 1.000001 * pow(10, -{digits}), false))"
+
+
+_P1 = f"""WITH {time_sql.placed()},
+begun AS (SELECT batch_id, min(ingested_at) AS ord FROM tracker_logs GROUP BY batch_id),
+keyed AS (
+  SELECT placed.*, ord, nullif(regexp_replace(regexp_replace("S/N ou IMEI", '\\s+', '', 'g'), '^M', ''), '') AS device, trim("MESS_TYPE") AS kind, TRY_CAST(trim("SER_COUNT") AS DOUBLE) AS counter
+  FROM placed JOIN begun USING (batch_id)),
+valid AS (SELECT * FROM keyed WHERE device IS NOT NULL AND tm_us IS NOT NULL AND regexp_full_match(kind, 'T[0-9]+'))
+SELECT a.batch_id, a.row_id FROM keyed a JOIN keyed b ON a.row_id = b.row_id AND b.ord < a.ord
+UNION
+SELECT a.batch_id, a.row_id FROM valid a JOIN valid b ON a.device = b.device AND a.kind = b.kind AND a.tm_us = b.tm_us AND b.ord < a.ord
+WHERE coalesce(a.counter = b.counter, true) AND {' AND '.join(map(_same, history.READINGS))}"""
+
+_ENDINGS = r"""WITH shown AS (SELECT doc_id, source, regexp_replace(text, '[\s\x{00A0}\x{200B}\x{FEFF}]+$', '') AS t FROM documents),
+judged AS (
+  SELECT doc_id, source, coalesce(t, '') <> '' AS has_text,
+    coalesce(t, '') <> '' AND (NOT regexp_matches(t, '[.!?。！？—–)\]"”»’]$') OR regexp_matches(t, '(…|\.\.)$') OR regexp_matches(t, '[(\[][^)\]]{0,400}$')
+      OR (length(t) - length(replace(t, '"', ''))) % 2 = 1 AND regexp_matches(t, '"[^"]{0,400}$') AND NOT regexp_matches(t, '[)\]"]$')) AS cut
+  FROM shown)"""
+
+
 QUERIES = {
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
@@ -76,6 +105,9 @@ QUERIES = {
     "p6_exact_runs": p6_exact_runs,
 }
 SQL = {
+    "p1_found": _P1,
+    "p10_found": f"{_ENDINGS} SELECT doc_id FROM judged WHERE cut",
+    "p10_rates": f"{_ENDINGS} SELECT source, count(*) FILTER (has_text) AS text_count, count(*) FILTER (cut) AS cut_count, round(count(*) FILTER (cut) / nullif(count(*) FILTER (has_text), 0), 6) AS cut_share FROM judged GROUP BY source",
     "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
     "p6_exact_runs": """
 WITH usable AS (
