@@ -8,13 +8,19 @@ import numpy as np
 import pyarrow as pa
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+LIMIT = 1_000_000
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int, limit: int = LIMIT) -> Iterator[tuple[tuple, list[np.ndarray]]]:
     """(key, other columns as arrays) for each run of equal leading ``keys`` columns.
 
     The input is sorted by them; a group that ends a batch waits for the next one.
+    A group of more than ``limit`` rows comes in parts, cut where its first other
+    column changes, so that memory stays bounded.
     """
     held_key: tuple | None = None
     held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -27,12 +33,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         for a, b in zip(starts, starts[1:]):
             key = tuple(c[a] for c in cols[:keys])
             part = [c[a:b] for c in cols[keys:]]
-            if key == held_key:
-                held.append(part)
-            else:
+            if key != held_key:
                 if held_key is not None:
                     yield held_key, [np.concatenate(x) for x in zip(*held)]
-                held_key, held = key, [part]
+                held_key, held, size = key, [], 0
+            held.append(part)
+            size += b - a
+            if size > limit:
+                whole = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.flatnonzero(whole[0] != whole[0][-1])[-1]) + 1 if (whole[0] != whole[0][-1]).any() else 0
+                if cut:
+                    yield key, [x[:cut] for x in whole]
+                held, size = [[x[cut:] for x in whole]], size - cut
     if held_key is not None:
         yield held_key, [np.concatenate(x) for x in zip(*held)]
 

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from fleetloom.functions import streams
 from fleetloom.operators import lateness, profile, rejects, trips
 
 # --- rejects ---------------------------------------------------------------
@@ -293,6 +294,32 @@ def test_trips_against_brute_force(spark):
     assert trips.trips(pings(spark, [])).count() == 0 and trips.stops(pings(spark, [])).count() == 0
 
 
+def test_large_days_come_in_parts(spark, monkeypatch):
+    """Parts of a device's day join like days do."""
+    rows = [(f"d{seed}", s, la, lo, 0) for seed in range(8) for s, la, lo in journey(seed)]
+    df = pings(spark, rows + [(d, s, la, lo, 1) for d, s, la, lo, _ in rows[::3]])
+    expected = {tuple(r)[:3] for r in trips.trips(df).collect()}
+
+    def small(batches, keys):
+        return streams.groups(batches, keys, 11)
+
+    monkeypatch.setattr(trips, "groups", small)
+    assert len({tuple(r)[:3] for r in trips.trips(df).collect()} & expected) >= 0.97 * len(expected)
+
+
+def test_groups_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    rows = sorted((rng.choice("abc"), rng.randrange(40), i) for i in range(300))
+    table = pa.table(dict(zip("kut", map(list, zip(*rows)))))
+    for limit in (5, 1000):
+        parts = [(k, u.tolist(), t.tolist()) for (k,), (u, t) in streams.groups(iter(table.to_batches(max_chunksize=7)), 1, limit)]
+        assert [(k, a, b) for k, u, t in parts for a, b in zip(u, t)] == rows
+        assert all(x[0] != y[0] or x[1][-1] != y[1][0] for x, y in zip(parts, parts[1:]))
+        assert len(parts) == 3 if limit == 1000 else len(parts) > 20
+
+
 def test_simplified_points_stay_within_tolerance():
     rng = np.random.default_rng(3)
     us = np.cumsum(rng.integers(1, 60, 300)) * 1_000_000
