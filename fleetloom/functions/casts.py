@@ -15,14 +15,17 @@ _STAMP = r"\A\s*([0-9]{4,6})([-/])([0-9]{1,2})\2([0-9]{1,2})(?:\s*\z|(?:[T ])([0
 
 def to_timestamp(text: Column) -> Column:
     """A year-first date with or without a clock time; an offset is read over, the wall clock kept."""
-    return F.when(
-        text.rlike(_STAMP), F.regexp_replace(F.regexp_replace(text, _STAMP, "$1-$3-$4T$5"), "T$", "T00:00:00").try_cast("timestamp_ntz")
-    )
+    iso = F.regexp_replace(text, _STAMP, "$1-$3-$4T$5")  # leaves what doesn't match as it is
+    fits = F.substring(F.ltrim(text), 1, 4).rlike("^[0-9]{4}$") & text.rlike(_STAMP)
+    return F.when(fits, F.when(iso.endswith("T"), F.concat(iso, F.lit("00:00:00"))).otherwise(iso).try_cast("timestamp_ntz"))
 
 
 def to_double(text: Column) -> Column:
     """A number; type suffixes are refused, underscores between digits are read over."""
-    return F.when(~text.rlike(r"[0-9.][dDfF]\s*\z"), F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "").try_cast("double"))
+    # the patterns run only on texts that show what they look for
+    plain = F.when(text.contains("_"), F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")).otherwise(text)
+    suffixed = F.right(F.rtrim(text), F.lit(1)).isin("d", "D", "f", "F") & text.rlike(r"[0-9.][dDfF]\s*\z")
+    return F.when(~suffixed, plain.try_cast("double"))
 
 
 def to_whole(number: Column, kind: str) -> Column:

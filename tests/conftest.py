@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from fleetloom.session import local_session  # noqa: E402
+from fleetloom.session import local_session, shipped  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(cores=4, shuffle_partitions=4, memory="4g")
     s.sparkContext.setLogLevel("ERROR")
+    shipped(s)
     yield s
     s.stop()
