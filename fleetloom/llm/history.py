@@ -85,26 +85,61 @@ def same_message(a: list[str], b: list[str]) -> bool:
     return all(map(same_reading, a, b))
 
 
+#: Readings that are whole numbers as a rule, and change from message to message.
+WHOLE = [READINGS.index(c) for c in ("ODO_TOTAL", "RX_LEVEL", "DIR", "SPEED")]
+
+
+def _whole(reading: str) -> float | None:
+    """The reading if it is a whole number. Two that differ are never the same
+    reading; anything else may agree with several."""
+    try:
+        x = float(reading.replace(",", "."))
+    except ValueError:
+        return None
+    return x if x.is_integer() else None
+
+
 class Neighbourhood:
     """The earlier records of one message key, an exact copy once.
 
     Records come in batch order; those of one batch see earlier batches only.
+    Variants hang in trees by their whole-number readings, so that a key with very
+    many different records (a clock that stands still) compares likely ones only.
     """
 
     def __init__(self) -> None:
         self.seen: dict[tuple, int] = {}  # (counter, readings) -> first order
-        self.by_counter: dict[float | None, list[tuple[list[str], int]]] = {}
+        self.all: dict = {}
+        self.uncounted: dict = {}
+        self.counted: dict[float, dict] = {}
+
+    @staticmethod
+    def _add(tree: dict, key: list, entry: tuple) -> None:
+        for k in key[:-1]:
+            tree = tree.setdefault(k, {})
+        tree.setdefault(key[-1], []).append(entry)
+
+    @staticmethod
+    def _near(trees: list, key: list) -> Iterator[tuple]:
+        """Entries whose whole readings don't contradict."""
+        for k in key:
+            trees = [b for t in trees for b in (t.values() if k is None else (t[x] for x in (k, None) if x in t))]
+        for entries in trees:
+            yield from entries
 
     def found(self, number: float | None, readings: str, order: int) -> bool:
         first = self.seen.get((number, readings))
         if first is not None and first < order:
             return True
         mine = readings.split(SEP)
-        near = self.by_counter if number is None else (number, None)
-        hit = any(o < order and same_message(mine, r) for c in near for r, o in self.by_counter.get(c, ()))
+        key = [_whole(mine[i]) for i in WHOLE]
+        trees = [self.all] if number is None else [self.uncounted, self.counted.get(number, {})]
+        hit = any(o < order and same_message(mine, r) for r, o in self._near(trees, key))
         if first is None:
             self.seen[(number, readings)] = order
-            self.by_counter.setdefault(number, []).append((mine, order))
+            entry = (mine, order)
+            self._add(self.all, key, entry)
+            self._add(self.uncounted if number is None else self.counted.setdefault(number, {}), key, entry)
         return hit
 
 

@@ -119,6 +119,20 @@ def test_batch_by_batch_equals_all_at_once(spark, clocks, tmp_path):
     assert found == FOUND and len(store.runs()) <= 2
 
 
+def test_one_neighbourhood_against_all_pairs():
+    rng, at = random.Random(9), {c: i for i, c in enumerate(history.READINGS)}
+    for _ in range(30):
+        hood, past = history.Neighbourhood(), []
+        for n in range(60):
+            r = ["1"] * len(history.READINGS)
+            r[at["ODO_TOTAL"]], r[at["SPEED"]] = rng.choice(["7", "7.0", "8", "", "7.1", "7,0"]), rng.choice(["3", "3.0", "n/a", "4"])
+            r[at["LAT"]] = rng.choice(["1.23456", "1.2346", "1.3", ""])
+            number, order = rng.choice([None, 1.0, 2.0]), n // 5
+            expected = any(o < order and (c is None or number is None or c == number) and history.same_message(r, x) for c, x, o in past)
+            assert hood.found(number, history.SEP.join(r), order) is expected
+            past.append((number, r, order))
+
+
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [("1.23", "1.2", True), ("1.25", "1.2", True), ("1.31", "1.2", False), ("26531", "26532", False), ("A", "a  ", True), ("A", "V", False), ("180", "180.0", True), ("-7,5", "-7.50", True), ("x", "--", True), ("0x1F", "OK", False)],
