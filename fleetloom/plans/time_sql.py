@@ -79,6 +79,22 @@ P4 = f"""WITH {placed()},
 dated AS (SELECT batch_id, row_id, CAST(make_timestamp(coalesce(tm_us, ds_us)) AS DATE) AS event_day, TRY_CAST(ingestion_date AS DATE) AS arrived FROM placed)
 SELECT batch_id, row_id, strftime(event_day, '%Y-%m-%d') AS event_date, CASE WHEN arrived - event_day <= 7 THEN 'corrects' ELSE 'dropped' END AS verdict FROM dated WHERE arrived - event_day >= 2"""
 
+P4_DAILY = f"""WITH {placed()},
+rows AS (
+  SELECT regexp_replace(source_file, '_?[0-9]{{8,}}|_rev|\\.csv$', '', 'g') AS source, CAST(make_timestamp(coalesce(tm_us, ds_us)) AS DATE) AS event_day, TRY_CAST(ingestion_date AS DATE) AS arrived FROM placed),
+loads AS (SELECT DISTINCT source, arrived FROM rows WHERE arrived IS NOT NULL),
+calendar AS (SELECT DISTINCT CAST(arrived + i AS DATE) AS day FROM loads, unnest([0, 1, 2, 3]) t(i)),
+low AS (
+  SELECT day, min(last) AS low FROM (SELECT day, source, max(arrived) AS last FROM calendar JOIN loads ON arrived <= day GROUP BY 1, 2) WHERE day - last <= 3 GROUP BY day),
+marks AS (SELECT day, max(low) OVER (ORDER BY day) - 7 AS mark FROM low),
+days AS (
+  SELECT event_day, count(*) FILTER (arrived - event_day < 2) AS on_time_count, count(*) FILTER (arrived - event_day BETWEEN 2 AND 7) AS corrected_count, count(*) FILTER (arrived - event_day > 7) AS dropped_count,
+    count(DISTINCT arrived) FILTER (arrived - event_day BETWEEN 2 AND 7) AS revisions
+  FROM rows WHERE event_day IS NOT NULL AND arrived IS NOT NULL GROUP BY event_day)
+SELECT strftime(event_day, '%Y-%m-%d') AS event_date, on_time_count, corrected_count, dropped_count, on_time_count + corrected_count AS total_count, revisions,
+  (SELECT strftime(min(day), '%Y-%m-%d') FROM marks WHERE mark > event_day) AS closed_on
+FROM days"""
+
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 
 
