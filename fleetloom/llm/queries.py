@@ -85,6 +85,27 @@ UNION
 SELECT a.batch_id, a.row_id FROM valid a JOIN valid b ON a.device = b.device AND a.kind = b.kind AND a.tm_us = b.tm_us AND b.ord < a.ord
 WHERE coalesce(a.counter = b.counter, true) AND {' AND '.join(map(_same, history.READINGS))}"""
 
+_P6 = """WITH RECURSIVE usable AS (
+  SELECT device_serial, event_timestamp AS ts, arg_min(latitude, (ingested_at, row_id)) AS lat, arg_min(longitude, (ingested_at, row_id)) AS lon
+  FROM telemetry_events
+  WHERE device_serial IS NOT NULL AND event_timestamp IS NOT NULL AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180
+    AND NOT isnan(latitude) AND NOT isnan(longitude) AND NOT (latitude = 0 AND longitude = 0)
+  GROUP BY ALL),
+events AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY device_serial) AS n, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000, false) AS late
+  FROM usable WINDOW w AS (PARTITION BY device_serial ORDER BY ts)),
+sessions AS (SELECT *, sum(late::INT) OVER (PARTITION BY device_serial ORDER BY i) AS session FROM events),
+reach AS (
+  SELECT a.device_serial, a.i, coalesce(min(b.i), any_value(a.n) + 1) AS stop FROM sessions a
+  LEFT JOIN sessions b ON a.device_serial = b.device_serial AND b.i > a.i AND (b.session > a.session
+    OR 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) > 60)
+  GROUP BY 1, 2),
+steps AS (SELECT *, CASE WHEN stop - i >= 3 THEN stop ELSE i + 1 END AS next FROM reach),
+walk AS (SELECT * FROM steps WHERE i = 1 UNION ALL SELECT s.* FROM walk w JOIN steps s ON s.device_serial = w.device_serial AND s.i = w.next)
+SELECT walk.device_serial, CAST(floor(epoch_us(a.ts) / 1000000) AS BIGINT) AS first_s, CAST(floor(epoch_us(b.ts) / 1000000) AS BIGINT) AS last_s, walk.stop - walk.i AS event_count
+FROM walk JOIN events a ON a.device_serial = walk.device_serial AND a.i = walk.i JOIN events b ON b.device_serial = walk.device_serial AND b.i = walk.stop - 1
+WHERE walk.stop - walk.i >= 3"""
+
 _ENDINGS = r"""WITH shown AS (SELECT doc_id, source, regexp_replace(text, '[\s\x{00A0}\x{200B}\x{FEFF}]+$', '') AS t FROM documents),
 judged AS (
   SELECT doc_id, source, coalesce(t, '') <> '' AS has_text,
@@ -106,6 +127,7 @@ QUERIES = {
 }
 SQL = {
     "p1_found": _P1,
+    "p6_found": _P6,
     "p10_found": f"{_ENDINGS} SELECT doc_id FROM judged WHERE cut",
     "p10_rates": f"{_ENDINGS} SELECT source, count(*) FILTER (has_text) AS text_count, count(*) FILTER (cut) AS cut_count, round(count(*) FILTER (cut) / nullif(count(*) FILTER (has_text), 0), 6) AS cut_share FROM judged GROUP BY source",
     "p8_round_trip": "SELECT doc_id FROM documents WHERE false",
