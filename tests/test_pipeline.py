@@ -1,5 +1,6 @@
 """Files to curated tables: every stored table against a full rebuild."""
 
+import os
 from datetime import UTC, date, datetime
 
 import pytest
@@ -137,6 +138,12 @@ def test_store_merges(spark, tmp_path):
     assert rows(t.read()) == [("a", 7), ("b", 2), ("c", 3), ("d", 4)]
     t.append(spark.createDataFrame([("e", "x")], "k string, extra string"))
     assert rows(t.read().where("k >= 'd'")) == [("d", 4, None), ("e", None, "x")]
+    # a lock that a lost writer left behind is broken once it is old
+    lock = tmp_path / "t" / "_log" / f"{t.manifest().version + 1:020d}.json.lock"
+    lock.touch()
+    os.utime(lock, (0, 0))
+    t.append(make(("z", 0)))
+    assert not lock.exists()
     # a writer that lost the race tries again on the winner's version
     stale = t.manifest()
     assert not t.files.create(t._log(stale.version), "{}")
