@@ -19,10 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +29,7 @@ from pyspark.sql import functions as F
 from fleetloom.functions.plan import computed_once
 from fleetloom.functions.streams import record_batches
 from fleetloom.operators.timestamps import first_instant, with_instants
+from fleetloom.sources.store import Table
 
 #: The columns of a message that are readings.
 READINGS = (
@@ -184,82 +182,61 @@ def copies_of_earlier(logs: DataFrame, clocks: DataFrame) -> DataFrame:
 
 
 class History:
-    """Accepted rows as sorted runs by key range, in a folder that all executors share.
+    """Accepted rows as sorted runs by key range, in a table of the store.
 
-    The folder has a manifest of live runs; it is replaced whole, after the runs
-    it names are written, so a lost job leaves files that nothing names.
+    A batch reads the ranges and keys that it touches, joins the table as a run of
+    each range, and ranges with many runs are merged into one. Every step is one
+    version of the table, so a lost job leaves nothing that a reader sees.
     """
 
+    KEY = ("device", "type", "us")
+
     def __init__(self, spark, path: str, ranges: int = 64, compact_after: int = 16) -> None:
-        self.spark, self.path, self.ranges, self.compact_after = spark, path, ranges, compact_after
-        os.makedirs(path, exist_ok=True)
-
-    @property
-    def _manifest(self) -> str:
-        return os.path.join(self.path, "runs.json")
-
-    def runs(self) -> list[str]:
-        if not os.path.exists(self._manifest):
-            return []
-        with open(self._manifest) as f:
-            return json.load(f)
-
-    def _commit(self, runs: list[str]) -> None:
-        part = f"{self._manifest}.{uuid.uuid4().hex}"
-        with open(part, "w") as f:
-            json.dump(runs, f)
-        os.replace(part, self._manifest)
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"run-{uuid.uuid4().hex}"
-        key = ["device", "type", "us"]
-        rows.repartition(self.ranges, "key_range").sortWithinPartitions("key_range", *key, "ord").write.partitionBy("key_range").parquet(os.path.join(self.path, name))
-        return name
-
-    def _read(self, names: list[str]) -> DataFrame:
-        parts = [self.spark.read.parquet(os.path.join(self.path, n)) for n in names]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        self.table, self.ranges, self.compact_after = Table(spark, path), ranges, compact_after
+
+    def _rows(self, logs: DataFrame, clocks: DataFrame) -> DataFrame:
+        """All rows of a batch: those with a message key by its range, the others by their id's."""
+        keyed = message_rows(logs, clocks)
+        same = F.col("a.batch_id").eqNullSafe(F.col("b.batch_id")) & F.col("a.row_id").eqNullSafe(F.col("b.row_id"))
+        rest = logs.select("batch_id", "row_id").join(batch_order(logs), "batch_id").alias("a").join(keyed.alias("b"), same, "left_anti")
+        of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(self.ranges)).cast("string")
+        keyed = keyed.withColumn("key_range", of(*self.KEY))
+        return keyed.unionByName(rest.withColumn("key_range", of("row_id")), allowMissingColumns=True)
 
     def add(self, logs: DataFrame, clocks: DataFrame) -> DataFrame:
         """Take one new batch; gives its (batch_id, row_id) that history holds.
 
-        The rows of the batch join history whether copies or not: a later copy of
-        a copy is one of the original as well.
+        The batch's rows join history whether copies or not: a later copy of a copy
+        is one of the original as well.
         """
-        ranged = lambda df: df.withColumn("key_range", F.pmod(F.xxhash64("device", "type", "us"), F.lit(self.ranges)).cast("int"))
-        keyless = logs.select("batch_id", "row_id").join(batch_order(logs), "batch_id").select(
-            *[F.lit(None).cast(t).alias(n) for n, t in (("device", "string"), ("type", "string"), ("us", "bigint"), ("counter", "double"), ("readings", "string"))],
-            "ord", "batch_id", "row_id",
-        )
-        keyed = message_rows(logs, clocks)
-        new = ranged(keyed.unionByName(keyless.join(keyed.select("batch_id", "row_id"), ["batch_id", "row_id"], "left_anti")))
-        name = self._write(new)
-        new = self._read([name])
-        old = self.runs()
-        if old:
-            past = self._read(old)
-            keys = new.where("device IS NOT NULL").select("key_range", "device", "type", "us").distinct()
-            near = past.join(keys, ["key_range", "device", "type", "us"], "left_semi")
-            both = near.withColumn("asked", F.lit(False)).unionByName(new.where("device IS NOT NULL").withColumn("asked", F.lit(True)))
-            columns = ["device", "type", "us", "counter", "readings", "ord", "batch_id", "row_id"]
-            by_key = message_copies(both.select(*columns, "asked"), F.col("asked"))
-            known = past.select("row_id", F.col("ord").alias("past_ord")).join(new.select("row_id").distinct(), "row_id", "left_semi").groupBy("row_id").agg(F.min("past_ord").alias("past_ord"))
-            by_id = new.join(known, "row_id").where("past_ord < ord").select("batch_id", "row_id")
-            found = by_id.unionByName(by_key).distinct()
-        else:
-            found = new.select("batch_id", "row_id").limit(0)
-        self._commit([*old, name])
-        return found
-
-    def compact(self) -> None:
-        """Merge all runs into one if there are many; the old ones go once it stands."""
-        old = self.runs()
-        if len(old) <= self.compact_after:
-            return
-        name = self._write(self._read(old))
-        self._commit([name])
-        for n in old:
-            shutil.rmtree(os.path.join(self.path, n), ignore_errors=True)
+        order = [*self.KEY, "ord"]
+        before = self.table.manifest() if self.table.exists() else None
+        after = self.table.append(self._rows(logs, clocks), "key_range", order)
+        known = set(before.segments) if before else set()
+        added = [s for s in after.segments if s not in known]
+        new = self.table.leaves([s for s, _ in added], after.struct)
+        found = new.select("batch_id", "row_id").limit(0)
+        if before is None or not before.segments:
+            return found
+        past = self.table.read(partitions={r for _, r in added}, version=before.version).where("device IS NOT NULL")
+        asked = new.where("device IS NOT NULL")
+        near = past.join(asked.select("key_range", *self.KEY).distinct(), ["key_range", *self.KEY], "left_semi")
+        columns = [*self.KEY, "counter", "readings", "ord", "batch_id", "row_id"]
+        both = near.select(*columns, F.lit(False).alias("asked")).unionByName(asked.select(*columns, F.lit(True).alias("asked")))
+        # ids are found by themselves: a row's copy may have another message key
+        ids = self.table.read(version=before.version).select("row_id", F.col("ord").alias("past_ord"))
+        ids = ids.join(new.select("row_id").distinct(), "row_id", "left_semi").groupBy("row_id").agg(F.min("past_ord").alias("past_ord"))
+        by_id = new.join(ids, "row_id").where("past_ord < ord").select("batch_id", "row_id")
+        return by_id.unionByName(message_copies(both, F.col("asked"))).distinct()
+
+    def runs(self) -> dict[str, int]:
+        """Runs of each key range."""
+        return dict(Counter(r for _, r in self.table.manifest().segments)) if self.table.exists() else {}
+
+    def compact(self) -> list[str]:
+        """Merge the runs of ranges that have many; gives the ranges."""
+        many = sorted(r for r, n in self.runs().items() if n > self.compact_after)
+        if many:
+            version = self.table.manifest().version
+            self.table.replace_where(self.table.read(partitions=many, version=version), many, [*self.KEY, "ord"], based_on=version)
+        return many
