@@ -12,9 +12,10 @@ the ranges and keys it touches only, is appended as a run, and runs are merged
 once there are many.
 
 Defined cases: rows without a device, a placeable time or a valid type count by
-row id only; a null row id matches none; null readings are lost values; batches
-that began at the same instant are not earlier than each other; empty input gives
-an empty result.
+row id only; a null row id matches none; null readings are lost values; rows
+without a batch, and batches without any time, are neither found nor history;
+batches that began at the same instant are not earlier than each other; empty
+input gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ SEP = "\x1f"
 
 def batch_order(rows: DataFrame) -> DataFrame:
     """(batch_id, ord): batches in the order in which they began."""
-    return rows.groupBy("batch_id").agg(F.min(F.unix_micros(F.col("ingested_at").cast("timestamp"))).alias("ord"))
+    known = rows.where("batch_id IS NOT NULL AND ingested_at IS NOT NULL")
+    return known.groupBy("batch_id").agg(F.min(F.unix_micros(F.col("ingested_at").cast("timestamp"))).alias("ord"))
 
 
 def message_rows(logs: DataFrame, clocks: DataFrame) -> DataFrame:

@@ -109,6 +109,11 @@ def test_copies_of_earlier_batches(spark, clocks):
     assert history.copies_of_earlier(log_rows(spark, []), clocks).count() == 0
 
 
+def test_rows_without_batch_or_time(spark, clocks):
+    rows = [(0, "a", {}), (1, "a", {"ingested_at": None}), (2, "a", {"batch_id": None}), (3, "b", {"ingested_at": None}), (3, "a", {})]
+    assert {tuple(r) for r in history.copies_of_earlier(log_rows(spark, rows), clocks).collect()} == {("b3", "a"), ("b3", "b")}
+
+
 def test_batch_by_batch_equals_all_at_once(spark, clocks, tmp_path):
     store = history.History(spark, str(tmp_path), ranges=4, compact_after=2)
     found = set()
