@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.functions.streams import record_batches
+from fleetloom.functions.streams import record_batches, slices
 from fleetloom.functions.timeparse import with_readings
 
 START, PLAIN, QUOTED, CLOSED, BROKEN = range(5)
@@ -140,7 +140,7 @@ def tokenize(lines: DataFrame, key: str, text: str, width: int = COLUMNS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_key", pa.string()), ("defect", pa.string()), ("offset", pa.int64()), ("n_fields", pa.int32()), ("values", pa.list_(pa.string()))])
-        for batch in batches:
+        for batch in slices(batches, 4096):
             rows: list[tuple] = []
             for k, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 e = scan(record)
