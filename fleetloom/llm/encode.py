@@ -17,13 +17,12 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fleetloom.functions.streams import slices
 from fleetloom.session import spread
 
 #: Folder of the vocabulary files, the same on every machine.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
-#: Characters handed to the library at once, one longer text aside.
-CHUNK_CHARS = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -40,29 +39,14 @@ def tokenizer(path: str):
     return t
 
 
-def in_chunks(texts: list[str | None], chars: int = CHUNK_CHARS):
-    """Consecutive parts of a batch, each of about ``chars`` characters."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
     """(key, ids) with one row per document."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
-            ids: list[list[int]] = []
-            for part in in_chunks(b.column(1).to_pylist()):
-                ids += [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+        for b in slices(batches):
+            ids = [e.ids for e in t.encode_batch_fast([x or "" for x in b.column(1).to_pylist()], add_special_tokens=False)]
             flat = pa.array([i for x in ids for i in x], pa.int32())
             lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, ids))], pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=[key, "ids"])
@@ -80,7 +64,7 @@ def encode_spans(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches):
         t = tokenizer(path)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 e = t.encode(part or "", add_special_tokens=False)
@@ -118,7 +102,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", path: str = f"{TOKENIZERS}/{
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [decode_ids(x, path) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.functions.streams import record_batches
+from fleetloom.functions.streams import record_batches, slices
 from fleetloom.session import checkpointed, spread
 
 
@@ -302,7 +302,7 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
             index = Index(shared.value, rules)
 
             def rows():
-                for b in batches:
+                for b in slices(batches):
                     for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                         for item_id, matched, item in index.carried(text):
                             yield from _judge(doc, item_id, matched, item, rules)
@@ -316,7 +316,7 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
         schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("p", pa.int64())])
 
         def rows():
-            for b in batches:
+            for b in slices(batches):
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     h = kgram_hashes(_codes("".join(words(text))), rules.k)
                     for p in winnow(h, rules.window).tolist():
@@ -331,7 +331,7 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
 
     def align(batches):
         def rows():
-            for b in batches:
+            for b in slices(batches):
                 for doc, text, item_id, passage in zip(*(c.to_pylist() for c in b.columns)):
                     for _, matched, item in Index([(item_id, passage)], rules).carried(text):
                         yield from _judge(doc, item_id, matched, item, rules)

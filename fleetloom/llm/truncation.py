@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.functions.streams import slices
 from fleetloom.session import checkpointed, spread
 
 # fixed values: closing marks of each opening mark
@@ -97,7 +98,7 @@ def endings(documents: DataFrame) -> DataFrame:
     """Each document's source, length and ending."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(2).to_pylist()
             found = [ending(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
