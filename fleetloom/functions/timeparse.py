@@ -19,6 +19,7 @@ SEP = "\x01"
 # fixed values: English month names
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
+PLAIN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?"
 _TAIL = r"\s*([AaPp][Mm])?\s*(.*)$"
 _YEAR_FIRST = r"^(\d{4})([-/.])(\d{1,2})[-/.](\d{1,2})(?:[Tt]|\s+)" + _CLOCK + _TAIL
@@ -117,9 +118,12 @@ def with_readings(df: DataFrame, source: str, out: str, zone: Column | None = No
     existing date with a time of day, placeable or not. Null, blank and
     unreadable texts give an empty array and false.
     """
-    p, d, m, o = (f"__{out}_{x}" for x in "pdmo")
-    df = df.withColumn(p, canonical_fields(F.col(source)))
-    fields = F.col(p)
+    c, p, d, m, o = (f"__{out}_{x}" for x in "cpdmo")
+    text = F.col(source)
+    # most texts have the plainest form: one match and one cast instead of the families
+    df = df.withColumn(c, F.coalesce(text.rlike(PLAIN), F.lit(False)))
+    df = df.withColumn(p, F.when(~F.col(c), canonical_fields(text)))
+    plain, fields = F.col(c), F.col(p)
     kind = F.get(fields, F.lit(0))
     a, b = F.get(fields, F.lit(2)), F.get(fields, F.lit(3))
     month = F.when(kind == "N", _month_number(a)).otherwise(a)
@@ -128,36 +132,34 @@ def with_readings(df: DataFrame, source: str, out: str, zone: Column | None = No
     epoch = number * F.when(width == 10, F.lit(1_000_000)).when(width == 13, F.lit(1000)).otherwise(F.lit(1))
     df = df.withColumns(
         {
-            d: F.when(kind == "E", epoch).when(kind != "", _wall_us(fields, month, b)),
+            d: F.when(plain, F.unix_micros(F.concat(text, F.lit("Z")).try_cast("timestamp"))).when(kind == "E", epoch).when(kind != "", _wall_us(fields, month, b)),
             m: F.when((kind == "D") & (a != b), _wall_us(fields, b, a)),
             o: F.when(kind == "E", F.lit(0).cast("bigint")).when(kind != "", _zone_offset(fields)),
         }
     )
     no_zone = F.coalesce(F.get(F.col(p), F.lit(9)), F.lit("")) == ""
-    form = F.lit(0).cast("tinyint")
+    form = F.when(plain, F.lit(FORMS["Y"]).cast("tinyint"))
     for name, code in FORMS.items():
-        form = F.when(F.get(F.col(p), F.lit(0)) == name, F.lit(code).cast("tinyint")).otherwise(form)
-    zone = F.lit("UTC") if zone is None else zone
-
-    def placed(wall: Column) -> Column:
-        offset = F.col(o)
-        return F.when(offset.isNotNull(), F.array(wall - offset)).when(no_zone, zoned_instants(wall, zone)).otherwise(F.array().cast("array<bigint>"))
+        form = form.when(F.get(F.col(p), F.lit(0)) == name, F.lit(code).cast("tinyint"))
+    none = F.array().cast(READING)
 
     def readings(wall: Column, rank: Column) -> Column:
-        return F.when(wall.isNull(), F.array().cast(READING)).otherwise(
-            F.transform(placed(wall), lambda us: F.struct(us.alias("us"), form.alias("form"), rank.cast("tinyint").alias("rank")))
-        )
+        one = lambda us: F.struct(us.alias("us"), form.alias("form"), rank.cast("tinyint").alias("rank"))
+        offset = F.col(o)
+        stated = F.when(wall.isNull(), none).when(offset.isNotNull(), F.array(one(wall - offset))).when(~no_zone, none)
+        if zone is None:
+            return stated.otherwise(F.array(one(wall)))
+        return stated.when(zone == "UTC", F.array(one(wall))).when(zone.isNull(), none).otherwise(F.transform(zoned_instants(wall, zone), one))
 
-    both = F.col(d).isNotNull() & F.col(m).isNotNull()
+    first = readings(F.col(d), F.lit(0))
+    both = F.col(d).isNotNull()
     return computed_once(
         df,
         **{
-            out: F.when(F.col(m).isNull(), readings(F.col(d), F.lit(0))).otherwise(
-                F.concat(readings(F.col(d), F.lit(0)), readings(F.col(m), F.when(both, F.lit(1)).otherwise(F.lit(0))))
-            ),
+            out: F.when(F.col(m).isNull(), first).otherwise(F.concat(first, readings(F.col(m), F.when(both, F.lit(1)).otherwise(F.lit(0))))),
             f"{out}_named": (F.col(d).isNotNull() | F.col(m).isNotNull()) & (no_zone | F.col(o).isNotNull()),
         },
-    ).drop(p, d, m, o)
+    ).drop(c, p, d, m, o)
 
 
 def _month_number(name: Column) -> Column:
