@@ -170,3 +170,15 @@ def bronze_scope(normalized: DataFrame, dates: DataFrame) -> DataFrame:
     """All rows, of any batch, whose day is affected."""
     day = F.coalesce(_day(event_time()), F.lit("unknown"))
     return normalized.withColumn("event_date", day).join(dates.select("event_date").distinct(), "event_date", "left_semi").drop("event_date")
+
+
+def raw_days(bronze: DataFrame) -> DataFrame:
+    """Loaded rows with their day, ``__day``, from the two time columns alone."""
+    ts = F.coalesce(to_timestamp(F.col("TM_STAMP").cast("string")), to_timestamp(F.col("DATA_SERVIDOR").cast("string")))
+    return computed_once(bronze, __day=F.coalesce(_day(ts), F.lit("unknown")))
+
+
+def raw_scope(bronze: DataFrame, dates: DataFrame) -> DataFrame:
+    """:func:`bronze_scope` before normalising: rows of other days are dropped as texts."""
+    wanted = dates.select(F.col("event_date").alias("__day")).distinct()
+    return raw_days(bronze).join(wanted, "__day", "left_semi").drop("__day")

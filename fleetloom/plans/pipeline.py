@@ -95,17 +95,15 @@ def refresh_silver(lake: Lake, batch_ids: Iterable[str] | None = None) -> Silver
     if missing:
         raise ValueError(f"the loaded table lacks {missing}")
     full = batches is None or not lake.ready(lake.silver, SILVER)
-    normalized = classify.normalize(bronze)
     if not full:
         if not batches:
             return SilverResult("NOOP")
-        ids = lake.spark.createDataFrame([(b,) for b in batches], "batch_id string")
-        days = _values(classify.affected_dates(normalized, ids), "event_date")
+        # a list of batches reaches the scan, whose statistics skip most leaves
+        days = _values(classify.raw_days(bronze.where(F.col("batch_id").isin(*batches))), "__day")
         if not days:
             return SilverResult("NOOP")
-        wanted = lake.spark.createDataFrame([(d,) for d in days], "event_date string")
-        normalized = classify.bronze_scope(normalized, wanted)
-    normalized = normalized.persist(StorageLevel.MEMORY_AND_DISK)  # one scan and parse for three tables
+        bronze = classify.raw_scope(bronze, lake.spark.createDataFrame([(d,) for d in days], "event_date string"))
+    normalized = classify.normalize(bronze).persist(StorageLevel.MEMORY_AND_DISK)  # one scan and parse for three tables
     try:
         made = {"telemetry_events": classify.telemetry(normalized), "device_identity_events": classify.identity(normalized), "rejected_logs": classify.rejected(normalized)}
         rows = {}
