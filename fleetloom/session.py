@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.sql.parquet.compression.codec": "zstd",
+    # HotSpot never compiles longer methods; beyond it, split projections beat one generated method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -66,7 +68,8 @@ def spread(df, key: str):
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """Send the package's code to the executors, once per application.
+    """Send the package's code to the executors and set the limit of generated
+    methods, once per application.
 
     The archive is only the driver's upload; Spark serves it to every executor,
     those that join later included.
@@ -79,5 +82,6 @@ def shipped(spark: SparkSession) -> SparkSession:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, str(Path(root.name) / f.relative_to(root)))
         context.addPyFile(target)
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", SETTINGS["spark.sql.codegen.hugeMethodLimit"])
         spark.conf.set("fleetloom.shipped", context.applicationId)
     return spark
