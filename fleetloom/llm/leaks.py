@@ -7,8 +7,10 @@ share a fingerprint. Fingerprint hits pick a place in the text for an item; ther
 the words are aligned in order, allowing for damaged letters, split or joined
 words and insertions, and counted per sentence of the passage.
 
-A sentence of a passage that whole recurs in texts which carry nothing else of
+A sentence of a passage that whole recurs in speeches which carry nothing else of
 the passage, or in several items, is a procedural formula; its words don't count.
+Copies and reissues of a speech recur as one. A text that carries words enough for
+a leak is evidence of a formula only if the sentence stands in several items.
 
 The held-out side is small by nature. Up to ``broadcast_fingerprints`` it travels
 with the tasks; beyond that bound texts and items meet by fingerprint in shuffles.
@@ -233,8 +235,8 @@ class Index:
         self.owners = np.concatenate(owners)[order] if hashes else np.zeros(0, np.int64)
         self.places = np.concatenate(places)[order] if hashes else np.zeros(0, np.int64)
 
-    def carried(self, text: str | None) -> Iterator[tuple[int, list[int], Item]]:
-        """(item id, matched passage words, item) of each item that has hits enough at one place."""
+    def carried(self, text: str | None) -> Iterator[tuple[int, list[int], Item, int]]:
+        """(item id, matched passage words, item, sketch of the text beside it) of each item that has hits enough at one place."""
         tokens = words(text) if text else []
         if not tokens or not len(self.hashes):
             return
@@ -266,33 +268,36 @@ class Index:
                     best[n] = found
         for n, (_, first, last) in best.items():
             item = self.items[n]
+            beside = hashes[np.setdiff1d(picked, q[owner == n])]
+            sketch = int(beside.min().view(np.int64)) if len(beside) else 0  # copies share it, light corrections mostly
             i = max(0, int(np.searchsorted(starts, first)) - len(item.words) - 20)
             j = int(np.searchsorted(starts, last)) + len(item.words) + 20
-            yield item.id, item.carried(tokens[i:j], self.rules.run_words), item
+            yield item.id, item.carried(tokens[i:j], self.rules.run_words), item, sketch
 
 
 def _sentence_key(ws: list[str]) -> str:
     return " ".join(ws)
 
 
-CARRIED = "doc_id bigint, item_id bigint, sentence string, matched int, whole boolean, elsewhere int"
-_CARRIED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("sentence", pa.string()), ("matched", pa.int32()), ("whole", pa.bool_()), ("elsewhere", pa.int32())])
+CARRIED = "doc_id bigint, item_id bigint, sentence string, matched int, whole boolean, elsewhere int, speech bigint, sketch bigint"
+_CARRIED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("sentence", pa.string()), ("matched", pa.int32()), ("whole", pa.bool_()), ("elsewhere", pa.int32()), ("speech", pa.int64()), ("sketch", pa.int64())])
 
 
-def _judge(doc: int, item_id: int, matched: list[int], item: Item, rules: Rules) -> Iterator[tuple]:
+def _judge(doc: int, speech: int, item_id: int, matched: list[int], item: Item, sketch: int, rules: Rules) -> Iterator[tuple]:
     per = defaultdict(int)
     for p in matched:
         per[item.of[p]] += 1
     total = len(matched)
     if total >= rules.min_words or any(n == len(item.sentences[s]) for s, n in per.items()):
         for s, n in per.items():
-            yield doc, item_id, _sentence_key(item.sentences[s]), n, n == len(item.sentences[s]), total - n
+            yield doc, item_id, _sentence_key(item.sentences[s]), n, n == len(item.sentences[s]), total - n, speech, sketch
 
 
 def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per document, item and sentence of its passage: the words matched in order."""
     spark = documents.sparkSession
-    docs = spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id")
+    speech = F.coalesce(F.col("reissue_of").cast("bigint"), "doc_id") if "reissue_of" in documents.columns else F.col("doc_id")
+    docs = spread(documents.select("doc_id", "text", speech.alias("speech")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id")
     items = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL")
     letters = items.agg(F.sum(F.length("passage"))).first()[0] or 0
     if letters <= rules.broadcast_fingerprints:
@@ -303,9 +308,9 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
 
             def rows():
                 for b in slices(batches):
-                    for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                        for item_id, matched, item in index.carried(text):
-                            yield from _judge(doc, item_id, matched, item, rules)
+                    for doc, text, speech in zip(*(c.to_pylist() for c in b.columns)):
+                        for item_id, matched, item, sketch in index.carried(text):
+                            yield from _judge(doc, speech, item_id, matched, item, sketch, rules)
 
             yield from record_batches(rows(), _CARRIED)
 
@@ -327,14 +332,14 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
     of_docs = docs.mapInArrow(prints, "id bigint, h bigint, p bigint").select(F.col("id").alias("doc_id"), "h").distinct()
     of_items = items.mapInArrow(prints, "id bigint, h bigint, p bigint").select(F.col("id").alias("item_id"), "h").distinct()
     pairs = of_docs.join(of_items, "h").groupBy("doc_id", "item_id").count().where(F.col("count") >= rules.min_hits)
-    pairs = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "text", "item_id", "passage")
+    pairs = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "text", "speech", "item_id", "passage")
 
     def align(batches):
         def rows():
             for b in slices(batches):
-                for doc, text, item_id, passage in zip(*(c.to_pylist() for c in b.columns)):
-                    for _, matched, item in Index([(item_id, passage)], rules).carried(text):
-                        yield from _judge(doc, item_id, matched, item, rules)
+                for doc, text, speech, item_id, passage in zip(*(c.to_pylist() for c in b.columns)):
+                    for _, matched, item, sketch in Index([(item_id, passage)], rules).carried(text):
+                        yield from _judge(doc, speech, item_id, matched, item, sketch, rules)
 
         yield from record_batches(rows(), _CARRIED)
 
@@ -357,11 +362,14 @@ def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> Dat
 
         yield from record_batches(rows(), schema)
 
-    alone = carried.where("whole AND elsewhere < 5").groupBy("sentence").agg(F.countDistinct("doc_id").alias("docs"))
-    least = F.greatest(F.lit(float(rules.formula_docs)), F.lit(rules.formula_share * documents.count()))
     in_items = items.select("item_id", "passage").where("passage IS NOT NULL").mapInArrow(split, "sentence string, item_id bigint")
-    in_items = in_items.groupBy("sentence").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= rules.formula_items)
-    formulas = alone.where(F.col("docs") >= least).select("sentence").unionByName(in_items.select("sentence")).distinct()
+    in_items = in_items.groupBy("sentence").agg(F.countDistinct("item_id").alias("n"))
+    least = F.greatest(F.lit(float(rules.formula_docs)), F.lit(rules.formula_share * documents.count()))
+    alone = carried.where("whole AND elsewhere < 5").join(in_items, "sentence")
+    alone = alone.where((F.col("n") > 1) | (F.col("matched") + F.col("elsewhere") < rules.min_words))
+    alone = alone.groupBy("sentence", "speech").agg(F.min("sketch").alias("sketch"))  # reissues are one, copies share the sketch
+    alone = alone.groupBy("sentence").agg(F.countDistinct("sketch").alias("speeches")).where(F.col("speeches") >= least)
+    formulas = alone.select("sentence").unionByName(in_items.where(F.col("n") >= rules.formula_items).select("sentence")).distinct()
     own = carried.join(formulas, "sentence", "left_anti").dropDuplicates(["doc_id", "item_id", "sentence", "matched"])
     out = own.groupBy("doc_id", "item_id").agg(F.sum("matched").alias("word_count"))
     return out.where(F.col("word_count") >= rules.min_words)

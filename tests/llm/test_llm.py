@@ -235,6 +235,27 @@ def test_leaks(spark):
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_copies_of_a_leak_are_no_formula(spark, bound):
+    long, short, rest = "Let us reject that remote windmill through the upper permit, while one northern dairy properly approved her island.", "Nine copper kettles vanished from our cold crowded northern kitchen.", "My tired sailor painted every barge twice."
+    recurs = "Pursuant to the order adopted earlier the committee shall now consider every remaining clause of this bill without further debate."
+    rare = "Any plum offends."
+    items = spark.createDataFrame([(1, f"{long} {rare}"), (2, f"{short} {rest}"), (3, f"{recurs} {rare}"), (4, f"{recurs} Ponds froze.")], "item_id bigint, passage string")
+    rng = random.Random(3)
+    told = [" ".join("".join(rng.choices("bcdfgklmnrst" if k % 2 else "aeiou", k=1)[0] for k in range(6)) for _ in range(12)) + ". " for _ in range(8)]
+    texts = [(i, f"{FILLER} {long} {FILLER}", None) for i in range(8)]  # copies of one speech
+    texts += [(10 + i, f"{x} {long} {x}", None) for i, x in enumerate(told)]  # the same leak in many speeches
+    texts += [(20 + i, f"{FILLER} {short} {FILLER}", None) for i in range(8)] + [(30 + i, f"{x} {short} {x}", 30) for i, x in enumerate(told)]  # copies, and reissues of one speech
+    texts += [(40, f"{FILLER} {short} {rest}", None)] + [(50 + i, f"{x} {recurs} {x}", None) for i, x in enumerate(told)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, reissue_of bigint")
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items, leaks.Rules(broadcast_fingerprints=bound)).collect()}
+    assert found == {(i, 1) for i in [*range(8), *range(10, 18)]} | {(40, 2)}
+    # short and alone in many speeches: a formula
+    others = spark.createDataFrame([(60 + i, f"{x} {short} {x}", None) for i, x in enumerate(told)], docs.schema)
+    found = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs.unionByName(others), items, leaks.Rules(broadcast_fingerprints=bound)).collect()}
+    assert found == {(i, 1) for i in [*range(8), *range(10, 18)]}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abcd", max_size=40), st.text("abcd", max_size=40), st.text("abcd", min_size=12, max_size=30))
 def test_winnowing_guarantee(left, right, shared):
