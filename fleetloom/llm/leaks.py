@@ -3,9 +3,10 @@
 Winnowing: both sides are reduced to letters and digits without case, accents,
 spaces or punctuation, and hashed by k letters; of every window of neighbouring
 hashes the least is kept. A shared span of ``k + window - 1`` letters is sure to
-share a fingerprint. Fingerprint hits pick a place in the text for an item; there
-the words are aligned in order, allowing for damaged letters, split or joined
-words and insertions, and counted per sentence of the passage.
+share a fingerprint. Fingerprint hits pick the places in the text for an item; at
+each the words are aligned in order, allowing for damaged letters, split or joined
+words and insertions, and counted per sentence of the passage. The place with most
+words, formulas aside, decides.
 
 A sentence of a passage that whole recurs in speeches which carry nothing else of
 the passage, or in several items, is a procedural formula; its words don't count.
@@ -235,8 +236,9 @@ class Index:
         self.owners = np.concatenate(owners)[order] if hashes else np.zeros(0, np.int64)
         self.places = np.concatenate(places)[order] if hashes else np.zeros(0, np.int64)
 
-    def carried(self, text: str | None) -> Iterator[tuple[int, list[int], Item, int]]:
-        """(item id, matched passage words, item, sketch of the text beside it) of each item that has hits enough at one place."""
+    def carried(self, text: str | None) -> Iterator[tuple[int, list[int], Item, int, int]]:
+        """(item id, matched passage words, item, sketch of the text beside it, first word) of each place
+        where an item has hits enough."""
         tokens = words(text) if text else []
         if not tokens or not len(self.hashes):
             return
@@ -253,7 +255,7 @@ class Index:
         q, owner, place = np.repeat(picked[some], times), self.owners[at], self.places[at]
         # a carried span lies on one diagonal, insertions and damage aside
         starts = np.cumsum([0, *map(len, tokens)])
-        best: dict[int, tuple[int, int, int]] = {}
+        bands: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for phase in (0, self.rules.band // 2):
             key = owner * (1 << 40) + (q - place + phase) // self.rules.band + (1 << 39)
             order = np.lexsort((q, key))
@@ -264,37 +266,42 @@ class Index:
                 part = order[cuts[c] : cuts[c] + counts[c]]
                 n = int(owner[part[0]])
                 found = (len(np.unique(place[part])), int(q[part[0]]), int(q[part[-1]]))
-                if found[0] >= self.rules.min_hits and found > best.get(n, (0, 0, 0)):
-                    best[n] = found
-        for n, (_, first, last) in best.items():
+                if found[0] >= self.rules.min_hits:
+                    bands[n].append(found)
+        for n, found in bands.items():
             item = self.items[n]
             beside = hashes[np.setdiff1d(picked, q[owner == n])]
             sketch = int(beside.min().view(np.int64)) if len(beside) else 0  # copies share it, light corrections mostly
-            i = max(0, int(np.searchsorted(starts, first)) - len(item.words) - 20)
-            j = int(np.searchsorted(starts, last)) + len(item.words) + 20
-            yield item.id, item.carried(tokens[i:j], self.rules.run_words), item, sketch
+            covered: list[tuple[int, int]] = []
+            for _, first, last in sorted(found, reverse=True):
+                i = max(0, int(np.searchsorted(starts, first)) - len(item.words))
+                j = min(len(tokens), int(np.searchsorted(starts, last)) + len(item.words))
+                if not any(a <= i and j <= b for a, b in covered):
+                    i, j = max(0, i - 20), j + 20
+                    covered.append((i, j))
+                    yield item.id, item.carried(tokens[i:j], self.rules.run_words), item, sketch, i
 
 
 def _sentence_key(ws: list[str]) -> str:
     return " ".join(ws)
 
 
-CARRIED = "doc_id bigint, item_id bigint, sentence string, matched int, whole boolean, elsewhere int, speech bigint, sketch bigint"
-_CARRIED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("sentence", pa.string()), ("matched", pa.int32()), ("whole", pa.bool_()), ("elsewhere", pa.int32()), ("speech", pa.int64()), ("sketch", pa.int64())])
+CARRIED = "doc_id bigint, item_id bigint, sentence string, matched int, whole boolean, elsewhere int, speech bigint, sketch bigint, place bigint"
+_CARRIED = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("sentence", pa.string()), ("matched", pa.int32()), ("whole", pa.bool_()), ("elsewhere", pa.int32()), ("speech", pa.int64()), ("sketch", pa.int64()), ("place", pa.int64())])
 
 
-def _judge(doc: int, speech: int, item_id: int, matched: list[int], item: Item, sketch: int, rules: Rules) -> Iterator[tuple]:
+def _judge(doc: int, speech: int, item_id: int, matched: list[int], item: Item, sketch: int, place: int, rules: Rules) -> Iterator[tuple]:
     per = defaultdict(int)
     for p in matched:
         per[item.of[p]] += 1
     total = len(matched)
     if total >= rules.min_words or any(n == len(item.sentences[s]) for s, n in per.items()):
         for s, n in per.items():
-            yield doc, item_id, _sentence_key(item.sentences[s]), n, n == len(item.sentences[s]), total - n, speech, sketch
+            yield doc, item_id, _sentence_key(item.sentences[s]), n, n == len(item.sentences[s]), total - n, speech, sketch, place
 
 
 def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Per document, item and sentence of its passage: the words matched in order."""
+    """Per document, item, place and sentence of its passage: the words matched in order."""
     spark = documents.sparkSession
     speech = F.coalesce(F.col("reissue_of").cast("bigint"), "doc_id") if "reissue_of" in documents.columns else F.col("doc_id")
     docs = spread(documents.select("doc_id", "text", speech.alias("speech")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id")
@@ -309,8 +316,8 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
             def rows():
                 for b in slices(batches):
                     for doc, text, speech in zip(*(c.to_pylist() for c in b.columns)):
-                        for item_id, matched, item, sketch in index.carried(text):
-                            yield from _judge(doc, speech, item_id, matched, item, sketch, rules)
+                        for item_id, matched, item, sketch, place in index.carried(text):
+                            yield from _judge(doc, speech, item_id, matched, item, sketch, place, rules)
 
             yield from record_batches(rows(), _CARRIED)
 
@@ -338,8 +345,8 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
         def rows():
             for b in slices(batches):
                 for doc, text, speech, item_id, passage in zip(*(c.to_pylist() for c in b.columns)):
-                    for _, matched, item, sketch in Index([(item_id, passage)], rules).carried(text):
-                        yield from _judge(doc, speech, item_id, matched, item, sketch, rules)
+                    for _, matched, item, sketch, place in Index([(item_id, passage)], rules).carried(text):
+                        yield from _judge(doc, speech, item_id, matched, item, sketch, place, rules)
 
         yield from record_batches(rows(), _CARRIED)
 
@@ -370,6 +377,7 @@ def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> Dat
     alone = alone.groupBy("sentence", "speech").agg(F.min("sketch").alias("sketch"))  # reissues are one, copies share the sketch
     alone = alone.groupBy("sentence").agg(F.countDistinct("sketch").alias("speeches")).where(F.col("speeches") >= least)
     formulas = alone.select("sentence").unionByName(in_items.where(F.col("n") >= rules.formula_items).select("sentence")).distinct()
-    own = carried.join(formulas, "sentence", "left_anti").dropDuplicates(["doc_id", "item_id", "sentence", "matched"])
-    out = own.groupBy("doc_id", "item_id").agg(F.sum("matched").alias("word_count"))
+    own = carried.join(formulas, "sentence", "left_anti").dropDuplicates(["doc_id", "item_id", "sketch", "place", "sentence", "matched"])
+    out = own.groupBy("doc_id", "item_id", "sketch", "place").agg(F.sum("matched").alias("word_count"))
+    out = out.groupBy("doc_id", "item_id").agg(F.max("word_count").alias("word_count"))
     return out.where(F.col("word_count") >= rules.min_words)

@@ -256,6 +256,18 @@ def test_copies_of_a_leak_are_no_formula(spark, bound):
     assert found == {(i, 1) for i in [*range(8), *range(10, 18)]}
 
 
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_a_formula_elsewhere_hides_no_leak(spark, bound):
+    formula = "The honourable member for the northern district will now resume the seat at once."
+    passage = f"{formula} A weary cooper measured the frozen canal behind seven quiet stables before dawn, and nobody counted broken lanterns."
+    items = spark.createDataFrame([(1, passage), (2, f"{formula} Ponds froze."), (3, f"{formula} Kettles sang.")], "item_id bigint, passage string")
+    own = passage[len(formula) :].split()
+    spread = " ".join(w if i % 3 else f"{w} indeed" for i, w in enumerate(own))
+    texts = [f"{formula} {FILLER * 30} {spread} {FILLER * 30} {formula}", f"{spread} {FILLER * 30} {formula} {FILLER * 30}", f"{formula} {FILLER * 30} {' '.join(own[:9])}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items, leaks.Rules(broadcast_fingerprints=bound)).orderBy("doc_id").collect()] == [(0, 1), (1, 1)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abcd", max_size=40), st.text("abcd", max_size=40), st.text("abcd", min_size=12, max_size=30))
 def test_winnowing_guarantee(left, right, shared):
