@@ -15,6 +15,7 @@ a leak is evidence of a formula only if the sentence stands in several items.
 
 The held-out side is small by nature. Up to ``broadcast_fingerprints`` it travels
 with the tasks; beyond that bound texts and items meet by fingerprint in shuffles.
+Either way a text's winnowed hashes meet every k-gram of an item.
 
 Defined cases: null, empty and blank texts or passages match nothing; texts are
 read whole; a repeated document id is judged as one document; empty input gives
@@ -248,9 +249,9 @@ class Index:
         h = hashes[picked]
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         some = np.flatnonzero(hi > lo)
-        if len(some) < self.rules.min_hits:
-            return
         times = (hi - lo)[some]
+        if times.sum() < self.rules.min_hits:  # whatever other items the index holds
+            return
         at = np.repeat(lo[some] - np.cumsum(times) + times, times) + np.arange(times.sum())
         q, owner, place = np.repeat(picked[some], times), self.owners[at], self.places[at]
         # a carried span lies on one diagonal, insertions and damage aside
@@ -324,21 +325,24 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
         return docs.mapInArrow(run, CARRIED)
 
     # too many items for a task: pairs that share fingerprints meet first
-    def prints(batches):
+    def prints(winnowed):
         schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("p", pa.int64())])
 
-        def rows():
-            for b in slices(batches):
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    h = kgram_hashes(_codes("".join(words(text))), rules.k)
-                    for p in winnow(h, rules.window).tolist():
-                        yield i, int(h[p : p + 1].view(np.int64)[0]), p
+        def run(batches):
+            def rows():
+                for b in slices(batches):
+                    for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                        h = kgram_hashes(_codes("".join(words(text))), rules.k)
+                        for p in winnow(h, rules.window).tolist() if winnowed else range(len(h)):
+                            yield i, int(h[p : p + 1].view(np.int64)[0]), p
 
-        yield from record_batches(rows(), schema)
+            yield from record_batches(rows(), schema)
+
+        return run
 
-    of_docs = docs.mapInArrow(prints, "id bigint, h bigint, p bigint").select(F.col("id").alias("doc_id"), "h").distinct()
-    of_items = items.mapInArrow(prints, "id bigint, h bigint, p bigint").select(F.col("id").alias("item_id"), "h").distinct()
-    pairs = of_docs.join(of_items, "h").groupBy("doc_id", "item_id").count().where(F.col("count") >= rules.min_hits)
+    of_docs = docs.select("doc_id", "text").mapInArrow(prints(True), "id bigint, h bigint, p bigint").select(F.col("id").alias("doc_id"), "h").distinct()
+    of_items = items.mapInArrow(prints(False), "id bigint, h bigint, p bigint").select(F.col("id").alias("item_id"), "h", "p").distinct()
+    pairs = of_docs.join(of_items, "h").groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n")).where(F.col("n") >= rules.min_hits)
     pairs = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "text", "speech", "item_id", "passage")
 
     def align(batches):

@@ -268,6 +268,28 @@ def test_a_formula_elsewhere_hides_no_leak(spark, bound):
     assert [(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items, leaks.Rules(broadcast_fingerprints=bound)).orderBy("doc_id").collect()] == [(0, 1), (1, 1)]
 
 
+def test_both_ways_find_the_same_pairs(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghiklmnoprstuvwxyz", k=n))
+    passages = [[word(rng.randrange(2, 9)) for _ in range(24)] for _ in range(60)]
+    # one or two shared spans of few letters each: a fingerprint at a span's end may be picked on one side only
+    texts = [" ".join([word(6), *p[k : k + 16], word(6)]) for p in passages for k in (0, 4)]
+    texts += [" ".join(x for i in range(0, 24, 4) for x in (*p[i : i + 3], word(5))) for p in passages]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id bigint, passage string")
+    rules = [leaks.Rules(min_hits=12, broadcast_fingerprints=n) for n in (2_000_000, 0)]
+    a, b = ({tuple(r) for r in leaks.carried_sentences(docs, items, x).select("doc_id", "item_id", "matched", "place").collect()} for x in rules)
+    assert a == b and len(a) > 100
+
+
+def test_repeated_letters_pass_alone_as_among_others():
+    text, rules = "so " + "ab" * 8 + " no", leaks.Rules(min_hits=6)
+    passage = " ".join(["ab" * 12] * 2)
+    alone = [x[0] for x in leaks.Index([(1, passage)], rules).carried(text)]
+    among = [x[0] for x in leaks.Index([(1, passage), (2, text)], rules).carried(text)]
+    assert alone == [1] and 1 in among
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text("abcd", max_size=40), st.text("abcd", max_size=40), st.text("abcd", min_size=12, max_size=30))
 def test_winnowing_guarantee(left, right, shared):
