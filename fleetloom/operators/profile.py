@@ -2,9 +2,10 @@
 
 Footers of the columnar files come first: they give row counts, exact null counts
 and, where valid, extrema of every column chunk. Dictionaries give the distinct
-candidates of a chunk. Only chunks whose statistics don't suffice are scanned:
-floating-point chunks (their extrema say nothing about NaN), chunks without
-statistics, and, for the comparison of loads, columns that vary at all.
+candidates of text columns. Other columns are scanned for distinct values, extrema
+included, and columns with a chunk without a null count for their nulls. The
+comparison of loads scans the numeric columns, save those that footers prove to
+hold one value that is possible.
 
 Loads are compared by value histograms (load, column, value), which combine
 before the shuffle, so a load with a third of all rows costs its distinct values.
@@ -96,7 +97,7 @@ def profile(table: DataFrame, patterns: dict[str, str] | None = None) -> DataFra
     kinds = {f.name: f.dataType for f in table.schema.fields if isinstance(f.dataType, AtomicType)}
     known = chunks.groupBy("column").agg(
         F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.count(F.lit(1)).alias("chunk_count"), F.count_if("exact").alias("footer_chunks"),
-        F.every("exact").alias("exact"), F.every(F.col("dictionary") | (F.col("nulls") == F.col("rows"))).alias("coded"),
+        F.every("exact").alias("exact"), F.every(F.col("nulls").isNotNull()).alias("counted"), F.every(F.col("dictionary") | F.coalesce(F.col("nulls") == F.col("rows"), F.lit(False))).alias("coded"),
     )
     state = {r["column"]: r for r in known.collect()}  # one row per column
     texts = [c for c, k in kinds.items() if isinstance(k, StringType) and c in state and state[c]["coded"]]
@@ -123,6 +124,11 @@ def profile(table: DataFrame, patterns: dict[str, str] | None = None) -> DataFra
     for p in parts[1:]:
         values = values.unionByName(p)
     nulls = F.col("nulls").cast("bigint")
+    uncounted = [c for c in kinds if c in state and not state[c]["counted"]]
+    if uncounted:
+        counts = table.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(uncounted)]).first()
+        for c, n in zip(uncounted, counts):
+            nulls = F.when(F.col("column") == c, F.lit(n).cast("bigint")).otherwise(nulls)
     return known.join(values, "column", "left").select(
         "column", F.col("rows").cast("bigint").alias("row_count"), nulls.alias("null_count"), (nulls / F.nullif(F.col("rows"), F.lit(0))).alias("null_rate"),
         F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), "low", "high", F.coalesce("bad_values", F.lit(0)).alias("pattern_violations"),
@@ -148,12 +154,14 @@ class Rules:
     reasons: tuple[str, ...] = field(default=("nulls", "impossible", "level", "spread", "variety"))
 
 
-def _constant(chunks: DataFrame) -> set[str]:
-    """Columns that footers prove to hold one value and no null: no load of theirs can depart."""
+def _constant(chunks: DataFrame, rules: Rules = Rules()) -> set[str]:
+    """Columns that footers prove to hold one possible value and no null: no load of theirs can depart."""
     seen = chunks.groupBy("column").agg(
         F.every("exact").alias("exact"), F.sum("nulls").alias("nulls"), F.min("low").alias("a"), F.max("high").alias("b"), F.max("low").alias("c")
     )
-    return {r["column"] for r in seen.where("exact AND nulls = 0 AND a = b AND b = c").collect()}
+    value = F.col("a").try_cast("double")
+    possible = (value >= 0) & (~F.col("column").isin(*rules.percentages) | (value <= 100))
+    return {r["column"] for r in seen.where("exact AND nulls = 0 AND a = b AND b = c").where(possible).collect()}
 
 
 def load_statistics(table: DataFrame, rules: Rules, columns: list[str]) -> DataFrame:
@@ -204,7 +212,7 @@ def departures(stats: DataFrame, rules: Rules) -> DataFrame:
 def spoiled(table: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(load, column_name, reason) of columns that a load spoils."""
     numeric = [f.name for f in table.schema.fields if isinstance(f.dataType, NumericType) and f.name not in (rules.load, *rules.aside)]
-    constant = _constant(footer_chunks(table))
+    constant = _constant(footer_chunks(table), rules)
     columns = [c for c in numeric if c not in constant]
     date = F.col(rules.date)
     real = (date == rules.undated) | (date.rlike(rules.date_form) & date.try_cast("date").isNotNull())

@@ -206,6 +206,24 @@ def test_profile_from_footers(spark, tmp_path):
     assert got["n"]["footer_chunks"] == got["n"]["chunk_count"] and got["v"]["footer_chunks"] == 0
 
 
+def test_profile_of_files_without_statistics(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for name, stats, values in (("a", True, ["x", None]), ("b", False, ["y", None, None])):
+        columns = {"s": pa.array(values), "n": pa.array([None if v is None else 1 for v in values], pa.int32())}
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet", write_statistics=stats, use_dictionary=stats)
+    got = {r["column"]: r for r in profile.profile(spark.read.parquet(str(tmp_path))).collect()}
+    assert {c: (r["row_count"], r["null_count"], r["null_rate"], r["distinct_count"], r["low"], r["high"]) for c, r in got.items()} == {"s": (5, 3, 0.6, 2, "x", "y"), "n": (5, 3, 0.6, 1, "1", "1")}
+
+
+def test_impossible_constants_are_found(spark, tmp_path):
+    rows = [(f"b{i % 4}", f"2025-03-{i % 28 + 1:02}", 5, -5, 101) for i in range(56)]
+    spark.createDataFrame(rows, "batch_id string, metric_date string, good int, bad int, rejection_percentage int").write.parquet(str(tmp_path / "t"))
+    found = {(r["load"], r["column_name"], r["reason"]) for r in profile.spoiled(spark.read.parquet(str(tmp_path / "t"))).collect()}
+    assert found == {(f"b{i}", c, "impossible") for i in range(4) for c in ("bad", "rejection_percentage")}
+
+
 def test_empty_profile(spark, tmp_path):
     spark.createDataFrame([], SUMMARY).write.parquet(str(tmp_path / "t"))
     table = spark.read.parquet(str(tmp_path / "t"))
