@@ -4,7 +4,9 @@ A stack automaton reads the structural characters of the whole text: brackets,
 quotes, markup, escapes and broken characters. Together with the last visible
 character its end state tells how a text stops. What is missing counts against
 the baseline of its source: where most texts end without a terminator, a missing
-one is no evidence, unless the text has exactly the source's limit length.
+one is no evidence, unless the text has exactly the source's limit length or stops
+inside a word: its last word stands nowhere else in the corpus but begins one that
+does.
 
 Defined cases: null, empty and blank texts are not cut; a null source is a source
 of its own; repeated document ids are judged row by row; empty input gives an
@@ -91,7 +93,17 @@ def ending(text: str | None) -> tuple[str, bool]:
     return "bare", False
 
 
-ENDINGS = "doc_id bigint, source string, length int, ending string, cut boolean"
+_WORD = re.compile(r"[^\W\d_]+")
+_LAST_WORD = re.compile(r"[^\W\d_]+$")
+
+
+def last_word(text: str | None) -> str | None:
+    """The word that the text stops with, for the comparison with the corpus."""
+    m = _LAST_WORD.search(visible(text)[-100:]) if text else None
+    return m.group().lower() if m else None
+
+
+ENDINGS = "doc_id bigint, source string, length int, ending string, cut boolean, last string"
 
 
 def endings(documents: DataFrame) -> DataFrame:
@@ -102,8 +114,9 @@ def endings(documents: DataFrame) -> DataFrame:
             texts = b.column(2).to_pylist()
             found = [ending(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(t) if t is not None else None for t in texts], pa.int32()), pa.array([e for e, _ in found]), pa.array([c for _, c in found])],
-                names=["doc_id", "source", "length", "ending", "cut"],
+                [b.column(0), b.column(1), pa.array([len(t) if t is not None else None for t in texts], pa.int32()), pa.array([e for e, _ in found]), pa.array([c for _, c in found]),
+                 pa.array([last_word(t) if e == "bare" else None for t, (e, _) in zip(texts, found)], pa.string())],
+                names=["doc_id", "source", "length", "ending", "cut", "last"],
             )
 
     return spread(documents.select(F.col("doc_id").cast("bigint"), "source", "text"), "doc_id").mapInArrow(run, ENDINGS)
@@ -118,16 +131,39 @@ def baselines(found: DataFrame) -> DataFrame:
     )
 
 
+def broken_words(documents: DataFrame, last: DataFrame) -> DataFrame:
+    """The words of ``last`` that stand whole in no text, but with which such a word begins.
+    The last word of a text without terminator isn't sure to be whole."""
+
+    def run(batches):
+        for b in slices(batches):
+            found: set[str] = set()
+            for t in b.column(0).to_pylist():
+                whole = _WORD.findall(t)
+                found.update(w.lower() for w in (whole if ending(t)[0] == "terminated" else whole[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+
+    known = spread(documents.select("text", "doc_id").where("text IS NOT NULL"), "doc_id").select("text").mapInArrow(run, "word string").distinct()
+    known = checkpointed(known)  # the words of the corpus, read twice
+    begun = known.select(F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("n"), "word").where("n < length(word)")
+    begun = begun.select(F.substring("word", F.lit(1), F.col("n")).alias("last")).distinct()
+    return last.distinct().join(known.withColumnRenamed("word", "last"), "last", "left_anti").join(begun, "last", "left_semi")
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """Every document with its ending and the verdict ``cut``."""
     found = checkpointed(endings(documents))  # a few bytes per text, read twice
-    base = baselines(found).withColumnRenamed("source", "__source")
+    base = checkpointed(baselines(found).withColumnRenamed("source", "__source"))  # a row per source
     at_limit = F.col("length") == F.col("longest")
-    return (
-        found.join(base, F.col("source").eqNullSafe(F.col("__source")), "left")
-        .withColumn("cut", F.col("cut") | ((F.col("ending") == "bare") & (F.coalesce(F.col("bare_is_odd"), F.lit(True)) | at_limit)))
-        .select("doc_id", "source", "length", "ending", "cut")
-    )
+    odd = F.coalesce(F.col("bare_is_odd"), F.lit(True))
+    out = found.join(base, F.col("source").eqNullSafe(F.col("__source")), "left").withColumn("odd", odd)
+    broken = F.lit(False)
+    if not base.where("NOT bare_is_odd").isEmpty():  # the corpus is read for its words only where bare ends prevail
+        words = broken_words(documents, out.where("NOT odd AND ending = 'bare' AND last IS NOT NULL").select("last"))
+        out = out.join(words.withColumn("broken", F.lit(True)), "last", "left")
+        broken = F.coalesce(F.col("broken"), F.lit(False))
+    cut = F.col("cut") | ((F.col("ending") == "bare") & (F.col("odd") | at_limit | broken))
+    return out.withColumn("cut", cut).select("doc_id", "source", "length", "ending", "cut")
 
 
 def cut_texts(documents: DataFrame) -> DataFrame:

@@ -336,3 +336,15 @@ def test_baseline_of_a_source(spark):
     rates = {r["source"]: tuple(r)[1:] for r in truncation.cut_rates(docs).collect()}
     assert rates == {"titles": (21, 1, 0.047619), "prose": (3, 1, 0.333333)}
     assert truncation.cut_texts(docs.limit(0)).count() == 0
+
+
+def test_words_broken_where_bare_ends_prevail(spark):
+    title = "Minutes of the northern harbour committee about pigeons"
+    rows = [(i, title if i % 2 else f"{title} and lanterns {i}", "titles") for i in range(20)]
+    rows += [(20 + i, f"{title[: -k]}", "titles") for i, k in enumerate((2, 4, 10, 17))]  # pigeo, pige, abo, committ
+    rows += [(30, f"{title} Zelfapelin", "titles"), (31, f"{title} in 1907", "titles"), (32, title + " and Harbour", "titles"), (33, None, "titles"), (34, f"{title} with a longest line of all of them", "titles")]
+    rows += [(100 + i, f"{title} was read.", "prose") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r[0] for r in truncation.cut_texts(docs).collect()} == {20, 21, 22, 23, 34}
+    rates = {r["source"]: (r["text_count"], r["cut_count"]) for r in truncation.cut_rates(docs).collect()}
+    assert rates == {"titles": (28, 5), "prose": (4, 0)}
