@@ -155,6 +155,16 @@ def api_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.route_statistics(service.route_rows(spark.read.parquet(f"{sf_dir}/device_route_points.parquet"), date(2025, 2, 1)))
 
 
+def api_daily_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily summaries without a period."""
+    return service.daily_rows(daily_summary_of_silver(spark, sf_dir)).select("event_date", "device_serial", "message_count", "maximum_speed")
+
+
+def api_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every device's plottable points of each day."""
+    return service.route_statistics(service.route_rows(spark.read.parquet(f"{sf_dir}/device_route_points.parquet"), None))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize": normalized,
     "telemetry_events": telemetry,
@@ -181,6 +191,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "api_quality": api_quality,
     "api_daily": api_daily,
     "api_route": api_route,
+    "api_daily_all": api_daily_all,
+    "api_route_all": api_route_all,
 }
 
 # --- SQL -----------------------------------------------------------------

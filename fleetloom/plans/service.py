@@ -64,10 +64,11 @@ def daily_rows(table: DataFrame, date_from: date | None = None, date_to: date |
     return df.where(F.col("device_serial") == device) if device else df
 
 
-def route_rows(table: DataFrame, day: date, device: str | None = None) -> DataFrame:
-    """Plottable points of a day."""
+def route_rows(table: DataFrame, day: date | None, device: str | None = None) -> DataFrame:
+    """Plottable points of a day, or of all days."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    df = table.where((F.col("event_date") == day.isoformat()) & lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)))
+    df = table.where(lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)))
+    df = df.where(F.col("event_date") == day.isoformat()) if day else df
     return df.where(F.col("device_serial") == device) if device else df
 
 

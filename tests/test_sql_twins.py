@@ -1,13 +1,13 @@
 """Every core query against its SQL twin, on the smallest tables and on odd hand-made logs."""
 
 import random
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from twins import SF, compare
 
 from fleetloom.operators.classify import PROTOCOL
-from fleetloom.plans import problems, products
+from fleetloom.plans import problems, products, service
 from fleetloom.sources.inbox import with_lineage
 
 PAIRS = {k: (f, m.SQL[k]) for m in (products, problems) for k, f in m.QUERIES.items() if k in m.SQL}
@@ -42,3 +42,22 @@ def test_twin(spark, name):
 @pytest.mark.parametrize("name", sorted(k for k in PAIRS if k in products.QUERIES and k not in ("daily_summary_of_silver", "api_quality", "api_daily", "api_route")))
 def test_twin_on_odd_logs(spark, odd_tables, name):
     compare(spark, *PAIRS[name], odd_tables)
+
+
+# the twins of api_daily and api_route carry a period; without it they are those of all days
+@pytest.mark.skipif(not SF.exists(), reason="no test tables")
+@pytest.mark.parametrize(("name", "period"), [("api_daily", "event_date BETWEEN '2025-02-01' AND '2025-02-14'"), ("api_route", "event_date = '2025-02-01'")])
+def test_all_days(spark, name, period):
+    assert period in products.SQL[name]
+    compare(spark, products.QUERIES[f"{name}_all"], products.SQL[name].replace(period, "true"), SF)
+
+
+def test_date_filters(spark):
+    days = [f"2024-11-{d:02}" for d in (1, 2, 3, 4)]
+    table = spark.createDataFrame([(d, s, 1.0, 2.0) for d in days for s in ("1", "2")] + [(days[0], "3", 0.0, 0.0), (days[0], "4", None, 1.0)], "event_date string, device_serial string, latitude double, longitude double")
+    of = lambda df: sorted({r["event_date"] for r in df.collect()})
+    first, last = date(2024, 11, 2), date(2024, 11, 3)
+    assert of(service.daily_rows(table)) == days and of(service.daily_rows(table, first)) == days[1:] and of(service.daily_rows(table, None, last)) == days[:3]
+    assert of(service.daily_rows(table, first, last)) == days[1:3] and service.daily_rows(table, first, first, "1").count() == 1
+    assert of(service.route_rows(table, None)) == days and service.route_rows(table, None).count() == 8
+    assert of(service.route_rows(table, first)) == days[1:2] and service.route_rows(table, date(2024, 11, 1)).count() == 2
