@@ -90,6 +90,7 @@ def _values(df: DataFrame, column: str) -> tuple[str, ...]:
 def refresh_silver(lake: Lake, batch_ids: Iterable[str] | None = None) -> SilverResult:
     """None: everything anew. No batch: nothing. Else the days that the batches touch."""
     batches = None if batch_ids is None else clean(batch_ids)
+    before = {n: t.manifest().version if t.exists() else None for n, t in lake.silver.items()}
     bronze = lake.bronze.read()
     missing = [c for c in LINEAGE if c not in bronze.columns]
     if missing:
@@ -109,7 +110,7 @@ def refresh_silver(lake: Lake, batch_ids: Iterable[str] | None = None) -> Silver
         rows = {}
         for name, df in made.items():
             table = lake.silver[name]
-            m = table.overwrite(df, SILVER[name]) if full else table.replace_where(df, days)
+            m = table.overwrite(df, SILVER[name]) if full else table.replace_where(df, days, based_on=before[name])
             rows[name] = m.metrics["rows"]
         if full:
             events = {*lake.silver["telemetry_events"].partitions(), *lake.silver["device_identity_events"].partitions()}
@@ -126,6 +127,7 @@ def refresh_gold(lake: Lake, event_dates: Iterable[str] | None = None, rejection
     if asked and not (events or rejections):
         return GoldResult("NOOP")
     spark = lake.spark
+    before = {n: t.manifest().version if t.exists() else None for n, t in lake.gold.items()}
     t, i, r = (lake.silver[n].read() for n in SILVER)
     full = not asked or not lake.ready(lake.gold, GOLD)
     rows: dict[str, int] = {}
@@ -157,8 +159,8 @@ def refresh_gold(lake: Lake, event_dates: Iterable[str] | None = None, rejection
     for name in ("dim_device", "device_last_position"):
         rows[name] = lake.gold[name].merge_upsert(made[name], "device_serial")
     for name in ("device_route_points", "device_daily_summary"):
-        rows[name] = lake.gold[name].replace_where(made[name], events).metrics["rows"]
-    rows["data_quality_summary"] = lake.gold["data_quality_summary"].replace_where(made["data_quality_summary"], metric).metrics["rows"]
+        rows[name] = lake.gold[name].replace_where(made[name], events, based_on=before[name]).metrics["rows"]
+    rows["data_quality_summary"] = lake.gold["data_quality_summary"].replace_where(made["data_quality_summary"], metric, based_on=before["data_quality_summary"]).metrics["rows"]
     return GoldResult("INCREMENTAL", events, rejections, rows)
 
 

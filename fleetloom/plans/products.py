@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from fleetloom.operators import classify, products
 from fleetloom.operators.classify import LINEAGE, PROTOCOL, raw_name
 from fleetloom.plans import service
+from fleetloom.session import shared_dir
+from fleetloom.sources.store import Table
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +111,11 @@ def hash_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.intersect(logs(spark, sf_dir).select("source_file_hash"))
 
 
+def _stored(spark: SparkSession) -> Table:
+    """A new table of the store in the folder that executors share."""
+    return Table(spark, f"{shared_dir(spark)}/stored/{uuid.uuid4().hex}")
+
+
 def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The table before its newest batch, and that batch."""
     df, last = logs(spark, sf_dir), _last_batch(spark, sf_dir)
@@ -115,24 +123,32 @@ def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def insert_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per batch after inserting what the newest batch adds by row id."""
+    """Rows per batch of a stored table after inserting what the newest batch adds by row id."""
     old, new = _splits(spark, sf_dir)
-    fresh = new.dropDuplicates(["row_id"]).join(old.select("row_id"), "row_id", "left_anti")
-    return old.unionByName(fresh).groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count"))
+    table = _stored(spark)
+    table.append(old, "ingestion_date")
+    table.merge_insert(new, "row_id", "ingestion_date")
+    return table.read().groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last positions before the newest batch, updated by that batch's devices."""
+    """Stored last positions before the newest batch, updated by that batch's devices."""
     old, new = (products.last_position(classify.telemetry(classify.normalize(x))) for x in _splits(spark, sf_dir))
-    return old.join(new.select("device_serial"), "device_serial", "left_anti").unionByName(new)
+    table = _stored(spark)
+    table.overwrite(old)
+    table.merge_upsert(new, "device_serial")
+    return table.read()
 
 
 def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily summaries without the newest batch, its days replaced by full recomputation."""
+    """Stored daily summaries without the newest batch, its days replaced by full recomputation."""
     old, _ = _splits(spark, sf_dir)
-    days = affected_dates(spark, sf_dir)
-    kept = products.daily_summary(classify.telemetry(classify.normalize(old))).join(days, "event_date", "left_anti")
-    return kept.unionByName(products.daily_summary(telemetry(spark, sf_dir), days))
+    table = _stored(spark)
+    table.overwrite(products.daily_summary(classify.telemetry(classify.normalize(old))), "event_date")
+    days = [r[0] for r in affected_dates(spark, sf_dir).collect()]  # a row per day
+    scope = spark.createDataFrame([(d,) for d in days], "event_date string")
+    table.replace_where(products.daily_summary(telemetry(spark, sf_dir), scope), days, based_on=0)
+    return table.read()
 
 
 def batch_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="fleetloom-shared-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", known)
     return known
@@ -57,6 +60,13 @@ def checkpointed(df):
     return df.checkpoint(eager=True)
 
 
+def small_side(df, rows: int = 500_000):
+    """The frame, evaluated once in the shared folder; marked for broadcast only if it proves to have
+    at most ``rows`` rows. Beyond that, joins with it shuffle as Catalyst plans."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def spread(df, key: str):
     """The rows over all cores where few files would leave most of them idle.
 
