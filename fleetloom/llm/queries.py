@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.functions.geo import epoch_us, usable
 from fleetloom.llm import encode, history, leaks, runs, truncation
 from fleetloom.plans import time_sql
+from fleetloom.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.copies_of_earlier(_table(spark, sf_dir, "tracker_logs"), _table(spark, sf_dir, "device_clocks"))
+    """The loads taken into an empty history in their order; its runs go once the last one is in."""
+    store = history.History(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", compact_after=4)
+    found = store.add_in_order(_table(spark, sf_dir, "tracker_logs"), _table(spark, sf_dir, "device_clocks"))
+    store.forget()
+    return found
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,55 @@ def test_batch_by_batch_equals_all_at_once(spark, clocks, tmp_path):
     assert found == FOUND and max(store.runs().values()) <= 2 and store.table.read().count() == len(ROWS)
 
 
+def offered(spark, loads):
+    """Logs of files with derived row ids; a load is [(file, first row, rows, first minute)]."""
+    import hashlib
+
+    out = []
+    for b, files in enumerate(loads):
+        for file, first, n, minute in files:
+            code = hashlib.sha256(file.encode()).hexdigest()
+            for k in range(first, first + n):
+                at = datetime(2025, 3, 1) + timedelta(minutes=minute + k)
+                r = {"batch_id": f"b{b}", "row_id": hashlib.sha256(f"{code}:{k}".encode()).hexdigest(), "ingested_at": datetime(2025, 3, 1) + timedelta(days=b), "TM_STAMP": f"{at}", "MESS_TYPE": "T2",
+                     "S/N ou IMEI": "M7", "SER_COUNT": f"{k}", "LAT": f"-7.{k:05d}", "source_file_hash": code, "source_row_number": k}
+                out.append(tuple(r.get(c) for c in [*COLUMNS, "source_file_hash", "source_row_number"]))
+    schema = ", ".join(f"`{c}` {'timestamp' if c == 'ingested_at' else 'string'}" for c in COLUMNS)
+    return spark.createDataFrame(out, f"{schema}, source_file_hash string, source_row_number bigint")
+
+
+def test_a_step_opens_only_what_it_touches(spark, tmp_path):
+    clocks = spark.createDataFrame([("7", "UTC")], "device_serial string, zone_name string")
+    day = 1440
+    loads = [[(f"f{b}", 0, 20, b * day), (f"g{b}", 0, 5, b * day + 100)] for b in range(6)]
+    loads[3].append(("f1", 3, 4, day))  # rows of an older file once more
+    loads[5].append(("copy", 0, 6, 4 * day))  # the messages of f4 in another file
+    logs, store = offered(spark, loads), history.History(spark, str(tmp_path), ranges=16)
+    got = {tuple(r) for r in store.add_in_order(logs, clocks, at_once=1).collect()}
+    assert got == {tuple(r) for r in history.copies_of_earlier(logs, clocks).collect()} and len(got) == 10
+    keys = [r.get(store.table.path, 0) for r in store.reads]
+    ids = [r.get(store.ids.path, 0) for r in store.reads]
+    assert keys == [0, 0, 0, 1, 0, 1] and max(ids) <= 2 and sum(ids[:3]) == 0  # flat, however long the past
+    store.forget()
+    assert not store.table.exists()
+
+
+def test_a_lost_file_hash_and_a_retry(spark, clocks, tmp_path):
+    from pyspark.sql import functions as F
+
+    logs = offered(spark, [[("f", 0, 6, 0)], [("f", 2, 2, 9000), ("n", 0, 2, 100)], [("f", 0, 1, 5000)]])
+    lost = logs.withColumn("source_file_hash", F.when(F.col("batch_id") != "b1", F.col("source_file_hash")))
+    expected = {tuple(r) for r in history.copies_of_earlier(lost, clocks).collect()}
+    assert len(expected) == 3
+    store = history.History(spark, str(tmp_path), ranges=4)
+    first = lost.where("batch_id = 'b0'")
+    assert store.add(first, clocks).count() == 0
+    assert store.table.read().count() == 6
+    assert {tuple(r) for r in store.add_in_order(lost.where("batch_id <> 'b0'"), clocks, at_once=1).collect()} == expected
+    # a retry of a load after later ones gives the same rows and adds none
+    assert store.add(lost.where("batch_id = 'b1'"), clocks).count() == 2 and store.table.read().count() == 11
+
+
 def test_one_neighbourhood_against_all_pairs():
     rng, at = random.Random(9), {c: i for i, c in enumerate(history.READINGS)}
     for _ in range(30):
