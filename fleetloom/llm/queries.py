@@ -116,8 +116,8 @@ WHERE walk.stop - walk.i >= 3"""
 _ENDINGS = r"""WITH shown AS (SELECT doc_id, source, regexp_replace(text, '[\s\x{00A0}\x{200B}\x{FEFF}]+$', '') AS t FROM documents),
 judged AS (
   SELECT doc_id, source, coalesce(t, '') <> '' AS has_text,
-    coalesce(t, '') <> '' AND (NOT regexp_matches(t, '[.!?。！？—–)\]"”»’]$') OR regexp_matches(t, '(…|\.\.)$') OR regexp_matches(t, '[(\[][^)\]]{0,400}$')
-      OR (length(t) - length(replace(t, '"', ''))) % 2 = 1 AND regexp_matches(t, '"[^"]{0,400}$') AND NOT regexp_matches(t, '[)\]"]$')) AS cut
+    coalesce(t, '') <> '' AND (NOT regexp_matches(t, '[.!?。！？—–)\]"”»’]$') OR regexp_matches(t, '(…|\.\.)$') OR regexp_matches(t, '[(\[][^)\]]*$')
+      OR (length(t) - length(replace(t, '"', ''))) % 2 = 1 AND regexp_matches(t, '"[^"]*$') AND NOT regexp_matches(t, '[)\]"]$')) AS cut
   FROM shown)"""
 
 

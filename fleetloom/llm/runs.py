@@ -1,13 +1,20 @@
 """Repeated consecutive events collapsed to one with count and duration (problem 6).
 
-Only boundary rows are kept: the first event of each run, with its position and
-the time of the event before it. The next boundary then gives the run's count
-(difference of positions) and its end (its previous event's time).
-
-Within a device's day, an event farther than twice the radius from its
-predecessor, or too long after it, is a sure boundary: no run can hold both. Runs
-between two sure boundaries of a day are closed there; only the day's outer
-fragments go to a pass over the device, which keeps two events and an anchor.
+Only boundary rows count: the first event of each run, with its position and the
+time of the event before it. The next boundary then gives the run's count
+(difference of positions) and its end (its previous event's time). For runs of
+equal values (:func:`collapse_runs`) an event that differs from its predecessor is
+a boundary. For runs near their first event (:func:`near_runs`) the boundaries
+follow from one another: the next one is the first event out of reach.
+
+A device's days are walked on their own. Two neighbours farther apart than twice the
+radius, or too long apart in time, are a sure boundary: no run can hold both. Before
+a day's first sure boundary a run of the day before may still be open; it ends where
+the day's events first span more than twice the radius, and from wherever it ends
+the walks soon meet in one boundary (:func:`meeting`). From there on the day stands by
+itself. What meets per device are the few events before that and each day's last,
+open run as one row; a day that never spans so much (a parked device) is one row too,
+with its circle, and is looked into only where the circle doesn't decide.
 
 Defined cases: rows with a null device or time or an unusable position are left
 out; of several events of one device and time the first to arrive stands; runs of
@@ -18,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +44,59 @@ class Rules:
     min_events: int = 3
 
 
-def _near(a: tuple, b: tuple, radius: float) -> bool:
-    p, q = radians(a[1]), radians(b[1])
-    h = sin((q - p) / 2) ** 2 + cos(p) * cos(q) * sin(radians(b[2] - a[2]) / 2) ** 2
-    return 2 * EARTH_M * asin(sqrt(min(h, 1.0))) <= radius
+def reach(i: int, us, lat, lon, rules: Rules) -> int:
+    """The first event after ``i`` that a run beginning there can't hold; the length where there is none."""
+    n, a, step = len(us), i + 1, 16
+    while a < n:
+        b = min(n, a + step)
+        off = (metres(lat[i], lon[i], lat[a:b], lon[a:b]) > rules.radius_m) | (us[a:b] - us[a - 1 : b - 1] > rules.gap_s * 1e6)
+        if off.any():
+            return a + int(off.argmax())
+        a, step = b, 4 * step
+    return n
+
+
+def starts(us, lat, lon, rules: Rules, first: int = 0) -> tuple[list[int], int]:
+    """Positions of the boundaries of a walk that begins at ``first``, up to the first run that the end
+    of the events leaves open; that run's position. A run too short to count gives way to its second event."""
+    out, i, n = [], first, len(us)
+    while i < n:
+        j = reach(i, us, lat, lon, rules)
+        if j == n:
+            break
+        out.append(i)
+        i = j if j - i >= rules.min_events else i + 1
+    return out, i
+
+
+def meeting(us, lat, lon, rules: Rules, last: int, end: int) -> int:
+    """The first boundary that the walks from all of the first ``last`` + 1 events share, ``end`` at the latest."""
+    on = np.zeros(end + 1, bool)
+    on[: last + 1] = True
+    left, i = last + 1, 0
+    while left > 1:
+        while not on[i]:
+            i += 1
+        j = reach(i, us, lat, lon, rules)
+        if j < len(us):  # else the run is open beyond these events, and so is what follows it
+            j = j if j - i >= rules.min_events else i + 1
+        left -= on[j]
+        on[j], on[i] = True, False
+    return int(on.argmax())
+
+
+def spanning(lat, lon, rules: Rules) -> int | None:
+    """The first event by which the events surely span more than twice the radius; None: they may not."""
+    low, high, west, east = (f.accumulate(x) for x in (lat, lon) for f in (np.minimum, np.maximum))
+    tall, wide = np.radians(high - low) * EARTH_M, np.radians(east - west) * EARTH_M
+    wide = np.where(east - west < 90, 0.999 * wide * np.cos(np.radians(np.maximum(np.abs(low), np.abs(high)))), 0.0)
+    far = np.maximum(tall, wide) > 2.001 * rules.radius_m
+    return int(far.argmax()) if far.any() else None
 
 
 class Boundaries:
-    """Run boundaries over events (us, lat, lon, fresh) in order of time.
-
-    An event that doesn't fit ends the run. If the run was too short to count, its
-    second event is tried as a first one. ``fresh`` events begin anew. State: the
-    anchor, the second event of a short run, the count and the last time.
-    """
+    """The run that a device's walk has open: its first event, its second while it is too short to count,
+    its count and its last time."""
 
     def __init__(self, rules: Rules) -> None:
         self.rules, self.gap_us = rules, rules.gap_s * 1e6
@@ -58,60 +104,88 @@ class Boundaries:
         self.second: tuple | None = None
         self.count = self.last = 0
 
-    def _begin(self, event: tuple) -> None:
-        self.anchor, self.second, self.count, self.last = event, None, 1, event[0]
-
-    def push(self, event: tuple) -> tuple | None:
-        """Take the next event; gives the run (first_us, last_us, count) that it ends."""
-        done = None
-        while self.anchor is not None:
-            if not event[3] and event[0] - self.last <= self.gap_us and _near(self.anchor, event, self.rules.radius_m):
-                self.count, self.last = self.count + 1, event[0]
-                if self.count == 2:
-                    self.second = event
-                return done
-            if self.count >= self.rules.min_events:
-                done, self.anchor = self.end(), None
-            elif self.count == 2 and not event[3]:
-                self._begin(self.second)
-            else:
-                self.anchor = None
-        self._begin(event)
-        return done
+    def _begin(self, us: int, lat: float, lon: float, count: int = 1, last: int | None = None) -> None:
+        self.anchor, self.second, self.count, self.last = (us, lat, lon), None, count, us if last is None else last
 
     def end(self) -> tuple | None:
-        """The run that stands when no event follows."""
+        """The open run (first_us, last_us, count) if it counts."""
         if self.anchor is not None and self.count >= self.rules.min_events:
             return self.anchor[0], self.last, self.count
         return None
 
+    def fresh(self, us: int, lat: float, lon: float, count: int, last: int) -> tuple | None:
+        """A boundary whatever came before, with the events of its run so far; gives the run that it ends."""
+        done = self.end()
+        self._begin(us, lat, lon, count, last)
+        return done
+
+    def holds(self, us: int, last: int, lat: float, lon: float, circle: float, count: int) -> bool:
+        """Whether the open run takes all events of a circle; if so it has taken them."""
+        if self.anchor is None or us - self.last > self.gap_us or float(metres(*self.anchor[1:], lat, lon)) + circle > self.rules.radius_m:
+            return False
+        self.count, self.last = self.count + count, last
+        return True
+
+    def push(self, us, lat, lon) -> Iterator[tuple]:
+        """Take further events, at least one; gives the runs that they end."""
+        i, n = 0, len(us)
+        while i < n:
+            if self.anchor is None:
+                self._begin(int(us[i]), float(lat[i]), float(lon[i]))
+                i += 1
+                continue
+            at, y, x = self.anchor
+            # the open run's last time and place stand before the events
+            j = i + reach(0, np.r_[self.last, us[i:]], np.r_[y, lat[i:]], np.r_[x, lon[i:]], self.rules) - 1
+            if j > i:
+                if self.count == 1:
+                    self.second = (int(us[i]), float(lat[i]), float(lon[i]))
+                self.count, self.last = self.count + j - i, int(us[j - 1])
+            if j < n:
+                if run := self.end():
+                    yield run
+                    self.anchor = None
+                elif self.count == 2:
+                    self._begin(*self.second)
+                else:
+                    self.anchor = None
+            i = j
+
 
-PARTS = "device_serial string, us bigint, last_us bigint, n bigint, lat double, lon double, fresh boolean"
 _PARTS = pa.schema(
-    [("device_serial", pa.string()), ("us", pa.int64()), ("last_us", pa.int64()), ("n", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("fresh", pa.bool_())]
+    [("device_serial", pa.string()), ("us", pa.int64()), ("last_us", pa.int64()), ("n", pa.int64()), ("lat", pa.float64()), ("lon", pa.float64()), ("circle", pa.float64()), ("kind", pa.string()), ("body", pa.binary())]
 )
+PARTS = "device_serial string, us bigint, last_us bigint, n bigint, lat double, lon double, circle double, kind string, body binary"
 
 
 def day_parts(device: str, us, lat, lon, rules: Rules) -> Iterator[tuple]:
-    """Closed runs of a day (``n`` set) and the events of its outer fragments (``n`` null)."""
+    """A day as closed runs (kind ``run``), events before its first own boundary (``event``, or all in one
+    ``circle``) and the boundary of its open run (``fresh``)."""
     us, lat, lon = once_per_time(us, lat, lon)
     n = len(us)
     hop = metres(lat[:-1], lon[:-1], lat[1:], lon[1:])
-    sure = (hop > 2 * rules.radius_m) | (np.diff(us) > rules.gap_s * 1e6)
-    starts = np.r_[0, np.flatnonzero(sure) + 1, n]
-    for i in (0, len(starts) - 2) if len(starts) > 2 else (0,):
-        for k in range(starts[i], starts[i + 1]):
-            yield device, int(us[k]), None, None, float(lat[k]), float(lon[k]), i > 0 and k == starts[i]
-    long = np.flatnonzero(np.diff(starts) >= rules.min_events)
-    for i in long.tolist():
-        if 0 < i < len(starts) - 2:
-            a, b = starts[i], starts[i + 1]
-            runs = Boundaries(rules)
-            for e in zip(us[a:b].tolist(), lat[a:b].tolist(), lon[a:b].tolist(), [False] * (b - a)):
-                if run := runs.push(e):
-                    yield device, *run, None, None, False
-            if run := runs.end():
-                yield device, *run, None, None, False
+    sure = np.flatnonzero((hop > 2 * rules.radius_m) | (np.diff(us) > rules.gap_s * 1e6))
+    own = int(sure[0]) + 1 if len(sure) else n
+    far = spanning(lat[:own], lon[:own], rules)
+    if far is not None:
+        own = meeting(us, lat, lon, rules, far, own)
+    if far is None and own >= 8:
+        y, x = (float(c[:own].min() + c[:own].max()) / 2 for c in (lat, lon))
+        body = b"".join(c[:own].tobytes() for c in (us.astype(np.int64), lat, lon))
+        yield device, int(us[0]), int(us[own - 1]), own, y, x, float(metres(y, x, lat[:own], lon[:own]).max()), "circle", body
+    else:
+        for k in range(own):
+            yield device, int(us[k]), int(us[k]), 1, float(lat[k]), float(lon[k]), None, "event", None
+    if own < n:
+        at, rest = starts(us, lat, lon, rules, own)
+        count = np.diff([*at, rest])
+        for i in np.flatnonzero(count >= rules.min_events).tolist():
+            yield device, int(us[at[i]]), int(us[at[i] + count[i] - 1]), int(count[i]), None, None, None, "run", None
+        if n - rest >= rules.min_events:
+            yield device, int(us[rest]), int(us[n - 1]), n - rest, float(lat[rest]), float(lon[rest]), None, "fresh", None
+        else:
+            for k in range(rest, n):
+                yield device, int(us[k]), int(us[k]), 1, float(lat[k]), float(lon[k]), None, "fresh" if k == rest else "event", None
 
 
 def near_runs(pings: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -124,27 +198,32 @@ def near_runs(pings: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def per_device(batches):
         runs, device = Boundaries(rules), None
 
-        def fragments(rows):
+        def shown(found):
+            for first, last, n in found:
+                yield device, first, last, n, None, None, None, "run", None
+
+        def closed(rows):
             nonlocal runs, device
-            for d, us, lat, lon, fresh in rows:
+            for d, us, last, n, lat, lon, circle, kind, body in rows:
                 if d != device:
-                    if run := runs.end():
-                        yield device, *run, None, None, False
+                    yield from shown(filter(None, [runs.end()]))
                     runs, device = Boundaries(rules), d
-                if run := runs.push((us, lat, lon, fresh)):
-                    yield device, *run, None, None, False
+                if kind == "fresh":
+                    yield from shown(filter(None, [runs.fresh(us, lat, lon, n, last)]))
+                elif kind == "event":
+                    yield from shown(runs.push(np.array([us]), np.array([lat]), np.array([lon])))
+                elif not runs.holds(us, last, lat, lon, circle, n):
+                    times, places = np.frombuffer(body, np.int64, n), np.frombuffer(body, np.float64, 2 * n, 8 * n)
+                    yield from shown(runs.push(times, places[:n], places[n:]))
 
         for b in batches:
-            kept = pa.compute.is_valid(b.column("n"))
+            kept = pa.compute.equal(b.column("kind"), "run")
             yield b.filter(kept)
-            rest = b.filter(pa.compute.invert(kept))
-            rows = zip(*(rest.column(c).to_pylist() for c in ("device_serial", "us", "lat", "lon", "fresh")))
-            yield from record_batches(fragments(rows), _PARTS)
-        if run := runs.end():
-            yield from record_batches(iter([(device, *run, None, None, False)]), _PARTS)
-
-    # finished runs pass by, spread over salts; fragments meet at their device
-    salt = F.when(F.col("n").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("us"), F.lit(64)))
+            yield from record_batches(closed(zip(*(c.to_pylist() for c in b.filter(pa.compute.invert(kept)).columns))), _PARTS)
+        yield from record_batches(shown(filter(None, [runs.end()])), _PARTS)
+
+    # finished runs pass by, spread over salts; what is open meets at its device
+    salt = F.when(F.col("kind") == "run", F.pmod(F.xxhash64("us"), F.lit(64))).otherwise(F.lit(-1))
     parts = daily_pings(pings).mapInArrow(per_day, PARTS).withColumn("salt", salt)
     parts = parts.repartition("device_serial", "salt").sortWithinPartitions("device_serial", "salt", "us").drop("salt")
     runs = parts.mapInArrow(per_device, PARTS)

@@ -1,8 +1,9 @@
 """Texts cut off by field limits or in transfer (problem 10).
 
-A stack automaton reads the structural characters of the whole text: brackets,
-quotes, markup, escapes and broken characters. Together with the last visible
-character its end state tells how a text stops. What is missing counts against
+A stack automaton reads the structural marks of the whole text: brackets, quotes
+and the tags of markup open and close on one stack, however far apart; escapes and
+characters may be broken at the end. Together with the last visible character the
+end state tells how a text stops. What is missing counts against
 the baseline of its source: where most texts end without a terminator, a missing
 one is no evidence, unless the text has exactly the source's limit length or stops
 inside a word: its last word stands nowhere else in the corpus but begins one that
@@ -31,20 +32,33 @@ CLOSERS = frozenset(PAIRS.values())
 # fixed values: sentence ends and dashes of common scripts
 ENDS = frozenset(".!?。！？．؟۔।॥‽⁇⁈⁉")
 DASHES = frozenset("—–―‒")
-_STRUCTURE = re.compile(r'["()\[\]{}“”«»「」『』（）【】]')
-_DOTS = re.compile(r"(?:…|\.\s?\.\s?\.|\.\.)\s*$")
-_HALF = re.compile(r"(?:&#?\w{0,8}|\\u?[0-9a-fA-F]{0,3}|<[/a-zA-Z][^<>]{0,200}|%[0-9a-fA-F]?)$")
-#: An opening mark farther from the end than this was left open by its writer.
-OPEN_REACH = 400
+# fixed values: elements of markup that hold text; others may stand alone
+ELEMENTS = frozenset("html body div p span b i u em strong a ul ol li table tr td th h1 h2 h3 h4 h5 h6 blockquote section article q cite sup sub pre code".split())
+_STRUCTURE = re.compile(r'(?P<face>[:;=]-?[()\[\]](?=\s|$))|<(?P<slash>/?)(?P<tag>[A-Za-z][A-Za-z0-9]*)\b[^<>]*?(?P<alone>/?)>|\\[\\"]|(?P<mark>["()\[\]{}“”«»「」『』（）【】])')
+_DOTS = re.compile(r"(?:…|\.\s?\.\s?\.|\.\.)$")
+# an entity, an escape, a percent code or a tag that only begins
+_HALF = re.compile(r"(?:&#?\w*|\\u?[0-9a-fA-F]{0,3}|%[0-9a-fA-F]?)$")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+_TAG_HEAD = re.compile(r"""</?[A-Za-z][\w:-]*(?:\s+[\w:-]+(?:=(?:"[^"]*"?|'[^']*'?|[^\s"'=]*))?)*\s*/?""")
 
 
 def open_marks(text: str) -> list[int]:
     """Offsets of marks still open at the end. A straight quote opens where none
-    is open; a closing mark pops through what it leaves unclosed inside."""
+    is open; a closing mark or tag pops through what it leaves unclosed inside.
+    Faces such as ``:(`` and escaped quotes are no marks."""
     stack: list[tuple[str, int]] = []
     for m in _STRUCTURE.finditer(text):
-        c = m.group()
-        if c == '"':
+        c, tag = m["mark"], m["tag"]
+        if tag:
+            tag = tag.lower()
+            if m["slash"]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == f"<{tag}":
+                        del stack[i:]
+                        break
+            elif tag in ELEMENTS and not m["alone"]:
+                stack.append((f"<{tag}", m.start()))
+        elif c == '"':
             inside = [i for i, (x, _) in enumerate(stack) if x == '"']
             if inside:
                 del stack[inside[-1] :]
@@ -61,6 +75,12 @@ def open_marks(text: str) -> list[int]:
     return [at for _, at in stack]
 
 
+def tag_begun(text: str) -> bool:
+    """Whether the text stops inside a tag."""
+    at = text.rfind("<")
+    return at >= 0 and ">" not in text[at:] and _TAG_HEAD.fullmatch(text, at) is not None
+
+
 def visible(text: str) -> str:
     """The text without trailing blanks, controls and zero-width characters."""
     end = len(text)
@@ -76,13 +96,18 @@ def ending(text: str | None) -> tuple[str, bool]:
     if not shown:
         return "empty", False
     last = shown[-1]
-    if last == "�" or 0xD800 <= ord(last) <= 0xDFFF or _HALF.search(shown[-210:]):
+    tail = shown[max(shown.rfind(c) for c in " \n\t") + 1 :]  # the last word with what hangs on it
+    if last == "�" or 0xD800 <= ord(last) <= 0xDFFF or _HALF.search(tail) or tag_begun(shown):
         return "broken", True
-    if _DOTS.search(shown[-8:]):
+    if _DOTS.search(shown[-5:]):  # five characters are the longest that it matches
         return "dots", True
-    opened = open_marks(shown)
-    if opened and len(shown) - opened[-1] <= OPEN_REACH and last not in CLOSERS and last != '"':
+    if last not in CLOSERS and last != '"' and open_marks(shown):
         return "open", True
+    while last == ">" and (at := shown.rfind("<")) >= 0 and _TAG.fullmatch(shown, at):  # whole tags behind the words
+        shown = visible(shown[:at])
+        if not shown:
+            return "empty", False
+        last = shown[-1]
     if last in DASHES or (last == "-" and (len(shown) < 2 or not shown[-2].isalnum() or shown[-2:] == "--")):
         return "dash", False
     if last in ENDS:
@@ -94,13 +119,16 @@ def ending(text: str | None) -> tuple[str, bool]:
 
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LAST_WORD = re.compile(r"[^\W\d_]+$")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def last_word(text: str | None) -> str | None:
     """The word that the text stops with, for the comparison with the corpus."""
-    m = _LAST_WORD.search(visible(text)[-100:]) if text else None
-    return m.group().lower() if m else None
+    shown = visible(text) if text else ""
+    start = len(shown)
+    while start and _LETTER.match(shown[start - 1]):
+        start -= 1
+    return shown[start:].lower() or None
 
 
 ENDINGS = "doc_id bigint, source string, length int, ending string, cut boolean, last string"

@@ -378,6 +378,53 @@ def test_cut(spark, text, cut):
     assert [r[0] for r in truncation.cut_texts(docs).collect()] == ([1] if cut else [])
 
 
+@pytest.mark.parametrize(
+    ("text", "ending"),
+    [
+        ("One (two " + "and then three. " * 60, "open"), ("He said: “Well. " + "And more was said. " * 200, "open"), ("<div><p>Text.", "open"), ("<div><p>Text.</p></div>", "terminated"), ("<p>One.<br>Two.</p>", "terminated"),
+        ("<DIV>(a) <b>x</b> is (so).</div>", "terminated"), ("Sad :( but whole.", "terminated"), ('He wrote \\"so.', "terminated"), ("See <a href=\"http://x/" + "y" * 500, "broken"), ("ends \\u00", "broken"), ("up 5 %2", "broken"),
+        ("If a <b then it holds, as said.", "terminated"), ("(a [b) is whole.", "terminated"), ("<inaudible> was said.", "terminated"), ("x" * 100_000 + ".", "terminated"),
+    ],
+)
+def test_stack_of_marks_and_tags(text, ending):
+    assert truncation.ending(text)[0] == ending
+
+
+def test_a_parked_device_is_few_rows():
+    import numpy as np
+
+    rng, rules = np.random.default_rng(4), runs.Rules()
+    us = np.arange(5000) * 17_000_000
+    lat, lon = 10 + rng.normal(0, 5e-5, 5000), 20 + rng.normal(0, 5e-5, 5000)
+    parked = list(runs.day_parts("d", us, lat, lon, rules))
+    assert len(parked) == 1 and parked[0][7] == "circle"
+    moving = list(runs.day_parts("d", us, 10 + np.arange(5000) * 2e-4, lon, rules))  # 22 m a step: no sure boundary
+    assert sum(r[7] != "run" for r in moving) < 30
+
+
+def test_walks_cut_anywhere_meet_again():
+    import numpy as np
+
+    rng, rules = random.Random(1), runs.Rules()
+    for trial in range(150):
+        us, lat, points, kind = 0, rng.uniform(-60, 60), [], rng.randrange(4)
+        for _ in range(rng.randrange(1, 120)):
+            us += 1_000_000 * rng.choice([30, 600, 4000, 21_600, 21_601] if kind < 2 else [60, 300])
+            lat += rng.choice([0, 0, 2e-4, -2e-4, 4e-4, 9e-4, 0.01]) if kind == 0 else rng.gauss(0, 1e-4) if kind == 1 else 0
+            points.append((us, lat + (rng.gauss(0, 1.5e-4) if kind > 1 else 0) + (0.01 if kind == 3 and rng.random() < 0.03 else 0), 5.0 + (rng.gauss(0, 1e-4) if kind > 1 else 0)))
+        cuts = [0, *sorted(rng.sample(range(1, len(points)), min(len(points) - 1, rng.randrange(6)))), len(points)]
+        parts = [r for a, b in zip(cuts, cuts[1:]) for r in runs.day_parts("d", *(np.array(c) for c in zip(*points[a:b])), rules)]
+        got, walk = [r[1:4] for r in parts if r[7] == "run"], runs.Boundaries(rules)
+        for _, first, last, n, y, x, circle, what, body in sorted((r for r in parts if r[7] != "run"), key=lambda r: r[1]):
+            if what == "fresh":
+                got += filter(None, [walk.fresh(first, y, x, n, last)])
+            elif what == "event" or not walk.holds(first, last, y, x, circle, n):
+                t, p = (np.array([first]), np.array([y, x])) if what == "event" else (np.frombuffer(body, np.int64, n), np.frombuffer(body, np.float64, 2 * n, 8 * n))
+                got += walk.push(t, p[:n], p[n:])
+        got += filter(None, [walk.end()])
+        assert sorted(got) == [(a * 1_000_000, b * 1_000_000, n) for a, b, n in slow_runs([(t / 1e6, y, x) for t, y, x in points])], trial
+
+
 def test_baseline_of_a_source(spark):
     rows = [(i, "no terminator here" + " x" * (i % 4), "titles", "x") for i in range(20)] + [(100, "y" * 300, "titles", "x"), (101, "Whole.", "prose", "x"), (102, "cut he", "prose", "x"), (103, "Also whole!", "prose", "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, ending string")
