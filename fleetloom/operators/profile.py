@@ -1,14 +1,15 @@
 """Column-level profile of large tables and of their loads (problem 2).
 
-Footers of the columnar files come first: they give row counts, exact null counts
-and, where valid, extrema of every column chunk. Dictionaries give the distinct
-candidates of text columns. Other columns are scanned for distinct values, extrema
-included, and columns with a chunk without a null count for their nulls. The
+Footers of the columnar files come first: they give row counts and null counts of
+every column chunk. Where a dictionary covers a chunk, its dictionary page gives the
+distinct values and with them the extrema, of floating columns as well; the data
+pages aren't read. Only chunks without that, or without a null count, are read. The
 comparison of loads scans the numeric columns, save those that footers prove to
-hold one value that is possible.
+hold one value that is possible: a load's rows share their chunks with other loads',
+so no statistics of a chunk speak of a load.
 
-Loads are compared by value histograms (load, column, value), which combine
-before the shuffle, so a load with a third of all rows costs its distinct values.
+Loads are compared straight from the columns: value counts of a load and column
+combine before the shuffle, so a load with a third of all rows costs its distinct values.
 
 Defined cases: an empty table has rows 0 and null extrema; nulls of the load
 column form one load; NaN and infinities count as impossible, not as extrema;
@@ -17,15 +18,17 @@ fewer than ``min_values`` values of a load are no evidence on its distribution.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType, NumericType, StringType
+from pyspark.sql.types import AtomicType, NumericType
 
-from fleetloom.session import checkpointed
+from fleetloom.session import checkpointed, shared_dir
 
 CHUNKS = "file string, row_group int, column string, rows bigint, nulls bigint, low string, high string, exact boolean, dictionary boolean"
 
@@ -40,6 +43,16 @@ def _open(path: str, **kind):
     return pq.ParquetFile(path, **kind)
 
 
+def _source(path: str):
+    """The file's bytes at any offset."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        system, inner = fs.FileSystem.from_uri(path.replace("file:///", "file:/").replace("file:/", "file:///"))
+        return system.open_input_file(inner)
+    return fs.LocalFileSystem().open_input_file(path)
+
+
 def footer_chunks(table: DataFrame) -> DataFrame:
     """One row per column chunk of the table's files, from footers alone."""
     spark = table.sparkSession
@@ -69,70 +82,211 @@ def footer_chunks(table: DataFrame) -> DataFrame:
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 1024)).mapInPandas(read, CHUNKS)
 
 
-def dictionary_values(chunks: DataFrame) -> DataFrame:
-    """(column, value) of every chunk's dictionary, as text; nulls aside."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _varint(b: memoryview, i: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        n |= (b[i] & 127) << shift
+        shift, i = shift + 7, i + 1
+        if not b[i - 1] & 128:
+            return n, i
+
+
+def _struct(b: memoryview, i: int = 0) -> tuple[dict[int, object], int]:
+    """A struct of the compact protocol that page headers are written in: field id to number, bytes or struct."""
+    out: dict[int, object] = {}
+    at = 0
+    while b[i]:
+        kind, delta, i = b[i] & 15, b[i] >> 4, i + 1
+        if delta:
+            at += delta
+        else:
+            n, i = _varint(b, i)
+            at = (n >> 1) ^ -(n & 1)
+        if kind in (1, 2):
+            out[at] = kind == 1
+        elif kind == 3:
+            out[at], i = b[i], i + 1
+        elif kind in (4, 5, 6):
+            n, i = _varint(b, i)
+            out[at] = (n >> 1) ^ -(n & 1)
+        elif kind == 7:
+            i += 8
+        elif kind == 8:
+            n, i = _varint(b, i)
+            if i + n > len(b):
+                raise IndexError
+            i += n
+        elif kind == 12:
+            out[at], i = _struct(b, i)
+        else:
+            raise ValueError("no page header")
+    return out, i + 1
+
+
+# fixed values of the file format: page types and encodings
+DATA, DICTIONARY, DATA_V2 = 0, 2, 3
+CODED = (2, 8)
+CODECS = {"UNCOMPRESSED": None, "SNAPPY": "snappy", "GZIP": "gzip", "ZSTD": "zstd", "BROTLI": "brotli"}
+
+
+def dictionary_page(source, chunk):
+    """The values of a chunk's dictionary page as an Arrow array, or None where the dictionary doesn't
+    cover the chunk. Only page headers and the dictionary are read."""
+    import pyarrow as pa
+
+    kinds = {"INT32": np.int32, "INT64": np.int64, "FLOAT": np.float32, "DOUBLE": np.float64}
+    if not chunk.has_dictionary_page or chunk.compression not in CODECS or chunk.physical_type not in (*kinds, "BYTE_ARRAY"):
+        return None
+    at, end, values = chunk.dictionary_page_offset, chunk.dictionary_page_offset + chunk.total_compressed_size, None
+    while at < end:
+        size = 1024
+        while True:
+            try:
+                head, used = _struct(memoryview(source.read_at(min(size, end - at), at)))
+                break
+            except IndexError:  # a header with long statistics
+                if size >= end - at:
+                    return None
+                size *= 8
+        if head[1] == DICTIONARY:
+            body = source.read_at(head[3], at + used)
+            codec = CODECS[chunk.compression]
+            body = pa.decompress(body, head[2], codec, asbytes=True) if codec else body
+            n = head[7][1]
+            if chunk.physical_type == "BYTE_ARRAY":
+                texts, i = [], 0
+                for _ in range(n):
+                    k = int.from_bytes(body[i : i + 4], "little")
+                    texts.append(body[i + 4 : i + 4 + k])
+                    i += 4 + k
+                values = pa.array(texts, pa.binary())
+            else:
+                values = pa.array(np.frombuffer(body, kinds[chunk.physical_type], n))
+        elif head[1] in (DATA, DATA_V2):
+            if (head[5][2] if head[1] == DATA else head[8][4]) not in CODED:
+                return None  # the dictionary overflowed
+        at += used + head[3]
+    return values
+
+
+VALUES = "column string, at string, nulls bigint, s string, l bigint, d double, scanned boolean"
+#: Kinds of columns that are profiled chunk by chunk, with the field of VALUES that holds them.
+FIELDS = {"string": "s", "byte": "l", "short": "l", "integer": "l", "long": "l", "boolean": "l", "date": "l", "timestamp": "l", "timestamp_ntz": "l", "float": "d", "double": "d"}
+
+
+def chunk_values(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The distinct values of every column chunk, once per chunk: from the footer where it proves one value,
+    from the dictionary page where that covers the chunk, else from the chunk itself, whose nulls are counted too."""
+
+    def typed(values, name: str, to):
+        import pyarrow as pa
+
+        if fields[name] == "s":
+            return values.cast(pa.binary()).cast(pa.string())
+        if fields[name] == "d":
+            return values.cast(pa.float64())
+        if values.type == pa.bool_():
+            return values.cast(pa.int64())
+        if pa.types.is_timestamp(to):
+            values = values.view(to) if pa.types.is_integer(values.type) else values
+            return values.cast(pa.timestamp("us", to.tz), safe=False).view(pa.int64())
+        if pa.types.is_date(to):
+            return (values if pa.types.is_integer(values.type) else values.view(pa.int32())).cast(pa.int64())
+        return values.cast(pa.int64())
+
+    def batch(name: str, values, scanned: tuple[str, int] | None = None):
+        """The values of one chunk, and a row of its own for a chunk that was read."""
+        import pyarrow as pa
+
+        n, more = len(values), int(scanned is not None)
+        columns = {k: pa.nulls(n + more, t) for k, t in schema.items()}
+        columns["column"] = pa.array([name] * (n + more), pa.string())
+        columns[fields[name]] = pa.concat_arrays([values, pa.nulls(more, values.type)])
+        if scanned:
+            columns["at"], columns["nulls"], columns["scanned"] = (pa.array([None] * n + [x], schema[k]) for k, x in zip(("at", "nulls", "scanned"), (*scanned, True)))
+        return pa.RecordBatch.from_pydict(columns)
+
+    def read(batches):
         import pyarrow.compute as pc
 
-        for pdf in batches:
-            for (path, group), part in pdf.groupby(["file", "row_group"]):
-                f = _open(path, read_dictionary=list(part["column"]))
-                for name in part["column"]:
-                    column = f.read_row_group(int(group), columns=[name]).column(0)
-                    for piece in column.chunks:
-                        values = piece.dictionary if hasattr(piece, "dictionary") else pc.unique(piece)
-                        texts = [str(v) for v in values.to_pylist() if v is not None]
-                        if texts:
-                            yield pd.DataFrame({"column": [name] * len(texts), "value": texts})
-
-    return chunks.select("file", "row_group", "column").repartition("file", "row_group").mapInPandas(read, "column string, value string")
+        for b in batches:
+            wanted: dict[tuple[str, int], list] = {}
+            for path, group, name, nulls, rows in zip(*(c.to_pylist() for c in b.columns)):
+                wanted.setdefault((path, group), []).append((name, nulls, rows))
+            for (path, group), part in wanted.items():
+                f, source = _open(path), _source(path)
+                names = [f.metadata.row_group(group).column(i).path_in_schema for i in range(f.metadata.num_columns)]
+                for name, nulls, rows in part:
+                    if nulls == rows:
+                        continue
+                    to = f.schema_arrow.field(name).type
+                    values = None if nulls is None else dictionary_page(source, f.metadata.row_group(group).column(names.index(name)))
+                    if values is not None:
+                        yield batch(name, typed(values, name, to))
+                        continue
+                    column = f.read_row_group(group, columns=[name]).column(0)  # statistics and dictionary are insufficient
+                    values = pc.drop_null(pc.unique(column))
+                    yield batch(name, typed(values, name, to), (f"{path}:{group}", column.null_count if nulls is None else 0))
+
+    import pyarrow as pa
+
+    schema = {"column": pa.string(), "at": pa.string(), "nulls": pa.int64(), "s": pa.string(), "l": pa.int64(), "d": pa.float64(), "scanned": pa.bool_()}
+    return chunks.select("file", "row_group", "column", "nulls", "rows").repartition("file", "row_group").mapInArrow(read, VALUES)
+
+
+def _bare(table: DataFrame) -> DataFrame:
+    """The table as plain files: one that filters, computes or adds columns from paths is written out first,
+    so that footers speak of its own rows."""
+    plan = table._jdf.queryExecution().optimizedPlan()
+    if plan.nodeName().startswith(("LogicalRelation", "Relation")) and plan.getClass().getSimpleName() == "LogicalRelation":
+        relation = plan.relation()
+        if not hasattr(relation, "partitionSchema") or relation.partitionSchema().isEmpty():
+            return table
+    folder = f"{shared_dir(table.sparkSession)}/profiled/{uuid.uuid4().hex}"
+    table.write.parquet(folder)
+    return table.sparkSession.read.schema(table.schema).parquet(folder)
 
 
 def profile(table: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    """Per column: rows, nulls, null_rate, distinct_count, low, high (as text),
-    violations of its pattern, and how many chunks were answered by footers."""
+    """Per column: rows, nulls, null_rate, distinct_count, low, high (as text), violations of its pattern,
+    how many chunks there are, how many footers answer for nulls and extrema, and how many were read whole."""
     patterns = patterns or {}
+    table = _bare(table)
+    kinds = {f.name: f.dataType.typeName() for f in table.schema.fields if isinstance(f.dataType, AtomicType)}
+    fields = {c: FIELDS[k] for c, k in kinds.items() if k in FIELDS}
     chunks = footer_chunks(table)
-    kinds = {f.name: f.dataType for f in table.schema.fields if isinstance(f.dataType, AtomicType)}
-    known = chunks.groupBy("column").agg(
+    known = chunks.where(F.col("column").isin(*kinds)).groupBy("column").agg(
         F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.count(F.lit(1)).alias("chunk_count"), F.count_if("exact").alias("footer_chunks"),
-        F.every("exact").alias("exact"), F.every(F.col("nulls").isNotNull()).alias("counted"), F.every(F.col("dictionary") | F.coalesce(F.col("nulls") == F.col("rows"), F.lit(False))).alias("coded"),
     )
-    state = {r["column"]: r for r in known.collect()}  # one row per column
-    texts = [c for c, k in kinds.items() if isinstance(k, StringType) and c in state and state[c]["coded"]]
-    from_dictionary = dictionary_values(chunks.where(F.col("column").isin(texts))).distinct() if texts else None
-    scanned = [c for c in kinds if c not in texts]
-    parts = []
-    if from_dictionary is not None:
-        bad = F.lit(False)
-        for c, p in patterns.items():
-            bad = bad | ((F.col("column") == c) & ~F.col("value").rlike(p))
-        parts.append(from_dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(bad).alias("bad_values")))
-    for c in scanned:
-        value, seen = F.col(f"`{c}`"), F.col("__value")
-        floating = kinds[c].typeName() in ("float", "double")
-        finite = F.when(~F.isnan(seen) & (F.abs(seen) != float("inf")), seen) if floating else seen
-        text = seen.cast("string")
-        bad = F.count_if(~text.rlike(patterns[c])) if c in patterns else F.lit(0).cast("bigint")
-        parts.append(
-            table.select(value.alias("__value")).distinct().select(F.lit(c).alias("column"), "__value", finite.alias("__finite")).groupBy("column").agg(
-                F.count("__value").alias("distinct_count"), F.min("__finite").cast("string").alias("low"), F.max("__finite").cast("string").alias("high"), bad.alias("bad_values")
-            )
-        )
-    values = parts[0]
-    for p in parts[1:]:
-        values = values.unionByName(p)
-    nulls = F.col("nulls").cast("bigint")
-    uncounted = [c for c in kinds if c in state and not state[c]["counted"]]
-    if uncounted:
-        counts = table.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(uncounted)]).first()
-        for c, n in zip(uncounted, counts):
-            nulls = F.when(F.col("column") == c, F.lit(n).cast("bigint")).otherwise(nulls)
-    return known.join(values, "column", "left").select(
+    bad = F.lit(False)
+    for c, p in patterns.items():
+        text = F.coalesce("s", F.col("l").cast("string"), F.col("d").cast("string"))
+        bad = bad | ((F.col("column") == c) & text.isNotNull() & ~text.rlike(p))
+    finite = F.when(~F.isnan("d") & (F.abs("d") != float("inf")), F.col("d"))
+    seen = F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull()
+    distinct = chunk_values(chunks.where(F.col("column").isin(*fields)), fields).distinct()
+    values = distinct.groupBy("column").agg(
+        F.count_if(seen).alias("distinct_count"), F.sum("nulls").alias("counted"), F.count_if("scanned").alias("scanned_chunks"), F.count_if(bad).alias("bad_values"),
+        F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("l").alias("l0"), F.max("l").alias("l1"), F.min(finite).alias("d0"), F.max(finite).alias("d1"),
+    )
+
+    def shown(i: int) -> Column:
+        of = lambda *names: F.col("column").isin([c for c, k in kinds.items() if k in names])
+        n = F.col(f"l{i}")
+        out = F.when(of("date"), F.date_from_unix_date(n.cast("int")).cast("string")).when(of("timestamp", "timestamp_ntz"), F.timestamp_micros(n).cast("string"))
+        return out.when(of("boolean"), (n == 1).cast("string")).when(of("float"), F.col(f"d{i}").cast("float").cast("string")).otherwise(F.coalesce(f"s{i}", n.cast("string"), F.col(f"d{i}").cast("string")))
+
+    out = known.join(values, "column", "left").select("*", shown(0).alias("low"), shown(1).alias("high"))
+    for c in [c for c in kinds if c not in fields]:  # decimals and the like have no common order in footers: a scan of their own
+        v = F.col(f"`{c}`")
+        own = table.select(v.alias("v")).agg(F.countDistinct("v").alias("n"), F.min("v").cast("string").alias("a"), F.max("v").cast("string").alias("b")).first()
+        for name, value in (("distinct_count", own["n"]), ("low", own["a"]), ("high", own["b"])):
+            out = out.withColumn(name, F.when(F.col("column") == c, F.lit(value)).otherwise(F.col(name)))
+    nulls = F.coalesce(F.col("nulls"), F.lit(0)).cast("bigint") + F.coalesce("counted", F.lit(0)).cast("bigint")
+    return out.select(
         "column", F.col("rows").cast("bigint").alias("row_count"), nulls.alias("null_count"), (nulls / F.nullif(F.col("rows"), F.lit(0))).alias("null_rate"),
         F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"), "low", "high", F.coalesce("bad_values", F.lit(0)).alias("pattern_violations"),
-        "chunk_count", "footer_chunks",
+        "chunk_count", "footer_chunks", F.coalesce("scanned_chunks", F.lit(0)).alias("scanned_chunks"),
     )
 
 
@@ -167,23 +321,24 @@ def _constant(chunks: DataFrame, rules: Rules = Rules()) -> set[str]:
 def load_statistics(table: DataFrame, rules: Rules, columns: list[str]) -> DataFrame:
     """Per load and column: n, nulls, impossible, values, distinct_count, level, spread of the dated rows."""
     dated = F.coalesce(F.col(rules.date) != rules.undated, F.lit(True))
-    # columns travel by number, names and bounds come back after the shuffle
-    numbers = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(columns)])
-    long = table.select(F.col(rules.load).alias("load"), dated.alias("dated"), F.inline(numbers))
-    histogram = long.groupBy("load", "c", "dated", "v").agg(F.count(F.lit(1)).alias("n"))
-    histogram = histogram.withColumn("most", F.when(F.col("c").isin([i for i, c in enumerate(columns) if c in rules.percentages]), F.lit(100.0)).otherwise(F.lit(float("inf"))))
-    v, n = F.col("v"), F.col("n")
-    finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
-    usable = F.col("dated") & v.isNotNull() & finite
-    mean_of = lambda x: F.sum(F.when(usable, x * n))
-    names = F.array(*map(F.lit, columns))
-    return histogram.groupBy("load", "c").agg(
-        F.sum("n").alias("n"), F.sum(F.when(v.isNull(), n).otherwise(0)).alias("nulls"),
-        F.sum(F.when(v.isNotNull() & (~finite | (v < 0) | (v > F.col("most"))), n).otherwise(0)).alias("impossible"),
-        F.sum(F.when(usable, n).otherwise(0)).alias("values"), F.count_if(usable).alias("distinct_count"),
-        F.expr("percentile(CASE WHEN dated AND v IS NOT NULL AND NOT isnan(v) AND abs(v) <> double('inf') THEN v END, 0.5, n)").alias("level"),
-        (mean_of(v * v) / F.sum(F.when(usable, n)) - F.pow(mean_of(v) / F.sum(F.when(usable, n)), 2)).alias("__var"),
-    ).withColumns({"spread": F.sqrt(F.greatest(F.col("__var"), F.lit(0.0))), "column": F.get(names, F.col("c"))}).drop("__var", "c")
+    wide = table.select(F.col(rules.load).alias("load"), dated.alias("dated"), *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    # a row per load: counts and sums, and per column the value counts that give median and distinct values
+    parts, long = [F.count(F.lit(1)).alias("n")], []
+    for i, c in enumerate(columns):
+        v = F.col(f"v{i}")
+        finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
+        most = F.lit(100.0 if c in rules.percentages else float("inf"))
+        kept = F.when(F.col("dated") & v.isNotNull() & finite, v)
+        own = {
+            "nulls": F.count_if(v.isNull()), "impossible": F.count_if(v.isNotNull() & (~finite | (v < 0) | (v > most))), "values": F.count(kept), "distinct_count": F.size(F.collect_set(kept)).cast("bigint"),
+            "level": F.percentile(kept, F.lit(0.5)), "total": F.sum(kept), "squares": F.sum(kept * kept),
+        }
+        parts += [x.alias(f"{name}{i}") for name, x in own.items()]
+        long.append(F.struct(F.lit(c).alias("column"), *[F.col(f"{name}{i}").alias(name) for name in own]))
+    stats = wide.groupBy("load").agg(*parts).select("load", "n", F.inline(F.array(*long)))
+    values = F.nullif(F.col("values"), F.lit(0))
+    spread = F.sqrt(F.greatest(F.col("squares") / values - F.pow(F.col("total") / values, 2), F.lit(0.0)))
+    return stats.withColumn("spread", F.when(values.isNotNull(), spread)).drop("total", "squares")
 
 
 def departures(stats: DataFrame, rules: Rules) -> DataFrame:

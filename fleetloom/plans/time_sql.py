@@ -95,6 +95,12 @@ SELECT strftime(event_day, '%Y-%m-%d') AS event_date, on_time_count, corrected_c
   (SELECT strftime(min(day), '%Y-%m-%d') FROM marks WHERE mark > event_day) AS closed_on
 FROM days"""
 
+P4_DIVERTED = f"""{P4_DAILY[: P4_DAILY.index('days AS (')]}
+closed AS (SELECT event_day, arrived, (SELECT min(day) FROM marks WHERE mark > event_day) AS closed_on FROM rows WHERE arrived - event_day > 7)
+SELECT strftime(event_day, '%Y-%m-%d') AS event_date, strftime(any_value(closed_on), '%Y-%m-%d') AS closed_on, count(*) FILTER (closed_on IS NULL OR arrived < closed_on) AS before_closing_count,
+  count(*) FILTER (arrived >= closed_on) AS after_closing_count
+FROM closed GROUP BY event_day"""
+
 _FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
 
 

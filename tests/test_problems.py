@@ -125,6 +125,20 @@ def test_verdicts_and_totals(spark):
     assert lateness.late_rows(logs.limit(0), clocks).count() == 0 and lateness.daily_totals(logs.limit(0), clocks).count() == 0
 
 
+def test_no_record_counts_after_its_day_closed(spark):
+    """Two feeds, one of them idle for weeks; a record after the close is diverted, one before it corrects."""
+    loads = [("a_20250301.csv", "2025-03-01", "2025-03-01"), ("b_20250301.csv", "2025-03-01", "2025-02-27"), ("a_20250308.csv", "2025-03-08", "2025-03-01"), ("a_20250309.csv", "2025-03-09", "2025-03-01"),
+             ("a_20250310.csv", "2025-03-10", "2025-03-05"), ("b_20250312.csv", "2025-03-12", "2025-03-01"), ("b_20250312.csv", "2025-03-12", "2025-03-06"), (None, "2025-03-12", "2025-03-11"), ("b_20250312.csv", None, "2025-03-01")]
+    logs = spark.createDataFrame([("b", f"r{i}", f, d, f"{e} 10:00:00", None, "M1") for i, (f, d, e) in enumerate(loads)], "batch_id string, row_id string, source_file string, ingestion_date string, TM_STAMP string, DATA_SERVIDOR string, `S/N ou IMEI` string")
+    clocks = spark.createDataFrame([("1", "UTC")], "device_serial string, zone_name string")
+    got = {r["row_id"]: r for r in lateness.judged(logs, clocks).collect()}
+    assert [got[f"r{i}"]["verdict"] for i in range(9)] == ["on_time", "corrects", "corrects", "dropped", "corrects", "dropped", "corrects", "on_time", None]
+    closed = {r["event_date"]: r["closed_on"] for r in lateness.daily_totals(logs, clocks).collect()}
+    assert closed["2025-03-01"] == "2025-03-09"
+    assert all(r["verdict"] == "dropped" for r in got.values() if r["arrived_day"] and str(r["arrived_day"]) >= (closed[str(r["event_day"])] or "9"))
+    assert {tuple(r) for r in lateness.diverted(logs, clocks).collect()} == {("2025-03-01", "2025-03-09", 0, 2)}
+
+
 def slow_watermarks(loads, cutoff, idle):
     first, last = min(d for _, d in loads), max(d for _, d in loads) + timedelta(idle)
     out, mark, day = {}, None, first
