@@ -8,6 +8,9 @@ each the words are aligned in order, allowing for damaged letters, split or join
 words and insertions, and counted per sentence of the passage. The place with most
 words, formulas aside, decides.
 
+A place of an item whose hits all lie in formulas that are known from the items
+alone is left aside: nothing there counts.
+
 A sentence of a passage that whole recurs in speeches which carry nothing else of
 the passage, or in several items, is a procedural formula; its words don't count.
 Copies and reissues of a speech recur as one. A text that carries words enough for
@@ -27,7 +30,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,8 +100,14 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     if n <= window:
         return np.array([n - 1 - int(hashes[::-1].argmin())])
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
-    return np.unique(np.arange(n - window + 1) + window - 1 - views.argmin(axis=1))
+    at = np.arange(window - 1, n)  # of each window the last position first
+    least = hashes[window - 1 :].copy()
+    for back in range(1, window):
+        other = hashes[window - 1 - back : n - back]
+        less = other < least
+        least[less] = other[less]
+        at[less] = (np.flatnonzero(less) + window - 1 - back)
+    return at[np.r_[True, at[1:] != at[:-1]]] if (at[1:] >= at[:-1]).all() else np.unique(at)
 
 
 def _codes(joined: str) -> np.ndarray:
@@ -140,13 +149,16 @@ def close(a: str, b: str) -> bool:
 
 
 class Item:
-    """A passage prepared for alignment."""
+    """A passage prepared for alignment. ``formulas``: its sentences that stand in many items."""
 
-    def __init__(self, item_id: int, passage: str) -> None:
+    def __init__(self, item_id: int, passage: str, formulas: Iterable[str] = ()) -> None:
         self.id, self.sentences = item_id, sentences(passage)
         self.words = [w for s in self.sentences for w in s]
         self.of = [i for i, s in enumerate(self.sentences) for _ in s]
         self.letters = "".join(self.words)
+        # letters of sentences that count
+        known = set(formulas)
+        self.counts = np.repeat([_sentence_key(s) not in known for s in self.sentences], [sum(map(len, s)) for s in self.sentences]).astype(bool)
         self.at: dict[str, int] = defaultdict(int)
         for i, w in enumerate(self.words):
             self.at[w] |= 1 << i
@@ -165,12 +177,13 @@ class Item:
         known = self.masks.get(word)
         if known is None:
             known = self.at.get(word, 0)
-            if not known and len(word) > 2:
+            n = len(word)
+            if not known and n > 2:
                 for w in self.first.get(word[0], ()):
-                    if close(w, word):
+                    if -3 < len(w) - n < 3 and close(w, word):
                         known |= self.at[w]
                 for w in self.last.get(word[-1], ()):
-                    if close(w, word):
+                    if -3 < len(w) - n < 3 and close(w, word):
                         known |= self.at[w]
             if len(self.masks) < 50_000:
                 self.masks[word] = known
@@ -220,22 +233,30 @@ class Item:
 
 
 class Index:
-    """All fingerprints of the held-out items."""
+    """All fingerprints of the held-out items: (item id, passage) and perhaps its formulas."""
 
-    def __init__(self, items: list[tuple[int, str]], rules: Rules) -> None:
+    def __init__(self, items: list[tuple], rules: Rules) -> None:
         self.rules = rules
-        self.items = [x for i, p in items if (x := Item(i, p)).words]
-        hashes, owners, places = [], [], []
+        self.items = [x for i in items if (x := Item(*i)).words]
+        hashes, owners, places, counts = [], [], [], []
         for n, item in enumerate(self.items):
             h = kgram_hashes(_codes(item.letters), rules.k)  # every one: a superset of the winnowed
             hashes.append(h)
             owners.append(np.full(len(h), n))
             places.append(np.arange(len(h)))
+            # a k-gram counts if it reaches beyond the formulas
+            sums = np.r_[0, np.cumsum(item.counts)]
+            counts.append(sums[rules.k :] > sums[: -rules.k] if len(h) else np.zeros(0, bool))
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes = flat[order]
         self.owners = np.concatenate(owners)[order] if hashes else np.zeros(0, np.int64)
         self.places = np.concatenate(places)[order] if hashes else np.zeros(0, np.int64)
+        self.counts = np.concatenate(counts)[order] if hashes else np.zeros(0, bool)
+        # low bits of the hashes there are: most of a text's are ruled out by one look
+        self.bits = np.uint64((1 << max(16, (4 * len(flat)).bit_length())) - 1)
+        self.there = np.zeros(int(self.bits) + 1, bool)
+        self.there[self.hashes & self.bits] = True
 
     def carried(self, text: str | None) -> Iterator[tuple[int, list[int], Item, int, int]]:
         """(item id, matched passage words, item, sketch of the text beside it, first word) of each place
@@ -246,14 +267,23 @@ class Index:
         joined = "".join(tokens)
         hashes = kgram_hashes(_codes(joined), self.rules.k)
         picked = winnow(hashes, self.rules.window)
-        h = hashes[picked]
+        some = picked[self.there[hashes[picked] & self.bits]]
+        if not len(some):
+            return
+        h = hashes[some]
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        some = np.flatnonzero(hi > lo)
-        times = (hi - lo)[some]
+        times = hi - lo
         if times.sum() < self.rules.min_hits:  # whatever other items the index holds
             return
-        at = np.repeat(lo[some] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        q, owner, place = np.repeat(picked[some], times), self.owners[at], self.places[at]
+        at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+        q, owner, place, counts = np.repeat(some, times), self.owners[at], self.places[at], self.counts[at]
+        # nothing but formulas of an item: nothing that counts
+        own = np.zeros(len(self.items), bool)
+        own[owner[counts]] = True
+        kept = own[owner]
+        if kept.sum() < self.rules.min_hits:
+            return
+        q, owner, place = q[kept], owner[kept], place[kept]
         # a carried span lies on one diagonal, insertions and damage aside
         starts = np.cumsum([0, *map(len, tokens)])
         bands: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -262,9 +292,9 @@ class Index:
             order = np.lexsort((q, key))
             k = key[order]
             cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            counts = np.diff(np.r_[cuts, len(k)])
-            for c in np.flatnonzero(counts >= self.rules.min_hits).tolist():
-                part = order[cuts[c] : cuts[c] + counts[c]]
+            sizes = np.diff(np.r_[cuts, len(k)])
+            for c in np.flatnonzero(sizes >= self.rules.min_hits).tolist():
+                part = order[cuts[c] : cuts[c] + sizes[c]]
                 n = int(owner[part[0]])
                 found = (len(np.unique(place[part])), int(q[part[0]]), int(q[part[-1]]))
                 if found[0] >= self.rules.min_hits:
@@ -301,15 +331,45 @@ def _judge(doc: int, speech: int, item_id: int, matched: list[int], item: Item,
             yield doc, item_id, _sentence_key(item.sentences[s]), n, n == len(item.sentences[s]), total - n, speech, sketch, place
 
 
+def item_sentences(items: DataFrame) -> DataFrame:
+    """(sentence, item_id), once each."""
+
+    def split(batches):
+        schema = pa.schema([("sentence", pa.string()), ("item_id", pa.int64())])
+
+        def rows():
+            for b in batches:
+                for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    for s in sentences(p):
+                        yield _sentence_key(s), i
+
+        yield from record_batches(rows(), schema)
+
+    return items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL").mapInArrow(split, "sentence string, item_id bigint").distinct()
+
+
+def in_items(items: DataFrame) -> DataFrame:
+    """(sentence, n): in how many items a sentence stands."""
+    return item_sentences(items).groupBy("sentence").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_formulas(items: DataFrame, rules: Rules) -> DataFrame:
+    """(item_id, passage, formulas): each item with its sentences that stand in many items."""
+    known = in_items(items).where(F.col("n") >= rules.formula_items).select("sentence")
+    own = item_sentences(items).join(known, "sentence").groupBy("item_id").agg(F.collect_list("sentence").alias("formulas"))
+    out = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL").join(own, "item_id", "left")
+    return out.select("item_id", "passage", F.coalesce("formulas", F.array().cast("array<string>")).alias("formulas"))
+
+
 def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Per document, item, place and sentence of its passage: the words matched in order."""
     spark = documents.sparkSession
     speech = F.coalesce(F.col("reissue_of").cast("bigint"), "doc_id") if "reissue_of" in documents.columns else F.col("doc_id")
     docs = spread(documents.select("doc_id", "text", speech.alias("speech")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id")
-    items = items.select("item_id", "passage").where("item_id IS NOT NULL AND passage IS NOT NULL")
+    items = checkpointed(with_formulas(items, rules))  # read three times
     letters = items.agg(F.sum(F.length("passage"))).first()[0] or 0
     if letters <= rules.broadcast_fingerprints:
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["passage"]) for r in items.collect()])
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
 
         def run(batches):
             index = Index(shared.value, rules)
@@ -343,13 +403,13 @@ def carried_sentences(documents: DataFrame, items: DataFrame, rules: Rules = Rul
     of_docs = docs.select("doc_id", "text").mapInArrow(prints(True), "id bigint, h bigint, p bigint").select(F.col("id").alias("doc_id"), "h").distinct()
     of_items = items.mapInArrow(prints(False), "id bigint, h bigint, p bigint").select(F.col("id").alias("item_id"), "h", "p").distinct()
     pairs = of_docs.join(of_items, "h").groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n")).where(F.col("n") >= rules.min_hits)
-    pairs = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "text", "speech", "item_id", "passage")
+    pairs = pairs.join(docs, "doc_id").join(items, "item_id").select("doc_id", "text", "speech", "item_id", "passage", "formulas")
 
     def align(batches):
         def rows():
             for b in slices(batches):
-                for doc, text, speech, item_id, passage in zip(*(c.to_pylist() for c in b.columns)):
-                    for _, matched, item, sketch, place in Index([(item_id, passage)], rules).carried(text):
+                for doc, text, speech, item_id, passage, formulas in zip(*(c.to_pylist() for c in b.columns)):
+                    for _, matched, item, sketch, place in Index([(item_id, passage, formulas)], rules).carried(text):
                         yield from _judge(doc, speech, item_id, matched, item, sketch, place, rules)
 
         yield from record_batches(rows(), _CARRIED)
@@ -362,25 +422,13 @@ def leaks(documents: DataFrame, items: DataFrame, rules: Rules = Rules()) -> Dat
     spark = documents.sparkSession
     carried = checkpointed(carried_sentences(documents, items, rules))  # few rows, read twice
 
-    def split(batches):
-        schema = pa.schema([("sentence", pa.string()), ("item_id", pa.int64())])
-
-        def rows():
-            for b in batches:
-                for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for s in sentences(p):
-                        yield _sentence_key(s), i
-
-        yield from record_batches(rows(), schema)
-
-    in_items = items.select("item_id", "passage").where("passage IS NOT NULL").mapInArrow(split, "sentence string, item_id bigint")
-    in_items = in_items.groupBy("sentence").agg(F.countDistinct("item_id").alias("n"))
+    known = in_items(items)
     least = F.greatest(F.lit(float(rules.formula_docs)), F.lit(rules.formula_share * documents.count()))
-    alone = carried.where("whole AND elsewhere < 5").join(in_items, "sentence")
+    alone = carried.where("whole AND elsewhere < 5").join(known, "sentence")
     alone = alone.where((F.col("n") > 1) | (F.col("matched") + F.col("elsewhere") < rules.min_words))
     alone = alone.groupBy("sentence", "speech").agg(F.min("sketch").alias("sketch"))  # reissues are one, copies share the sketch
     alone = alone.groupBy("sentence").agg(F.countDistinct("sketch").alias("speeches")).where(F.col("speeches") >= least)
-    formulas = alone.select("sentence").unionByName(in_items.where(F.col("n") >= rules.formula_items).select("sentence")).distinct()
+    formulas = alone.select("sentence").unionByName(known.where(F.col("n") >= rules.formula_items).select("sentence")).distinct()
     own = carried.join(formulas, "sentence", "left_anti").dropDuplicates(["doc_id", "item_id", "sketch", "place", "sentence", "matched"])
     out = own.groupBy("doc_id", "item_id", "sketch", "place").agg(F.sum("matched").alias("word_count"))
     out = out.groupBy("doc_id", "item_id").agg(F.max("word_count").alias("word_count"))

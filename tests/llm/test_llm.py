@@ -399,7 +399,7 @@ def test_a_parked_device_is_few_rows():
     parked = list(runs.day_parts("d", us, lat, lon, rules))
     assert len(parked) == 1 and parked[0][7] == "circle"
     moving = list(runs.day_parts("d", us, lat + np.arange(5000) * 2e-4, lon, rules))  # 22 m a step: no sure boundary
-    assert sum(r[7] != "run" for r in moving) < 100
+    assert sum(r[7] != "run" for r in moving) < 500
 
 
 def test_walks_cut_anywhere_meet_again():
