@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ class Rules:
     min_events: int = 3
 
 
+def _near(anchor: tuple, lat: float, lon: float, radius: float) -> bool:
+    p, q = radians(anchor[1]), radians(lat)
+    h = sin((q - p) / 2) ** 2 + cos(p) * cos(q) * sin(radians(lon - anchor[2]) / 2) ** 2
+    return 2 * EARTH_M * asin(sqrt(min(h, 1.0))) <= radius
+
+
 def reach(i: int, us, lat, lon, rules: Rules) -> int:
     """The first event after ``i`` that a run beginning there can't hold; the length where there is none."""
     n, a, step = len(us), i + 1, 16
@@ -56,11 +63,34 @@ def reach(i: int, us, lat, lon, rules: Rules) -> int:
     return n
 
 
-def starts(us, lat, lon, rules: Rules, first: int = 0) -> tuple[list[int], int]:
+def near_next(us, lat, lon, rules: Rules, step: int) -> np.ndarray:
+    """Whether each event holds the one ``step`` later, hops in time aside; short by ``step``."""
+    return metres(lat[:-step], lon[:-step], lat[step:], lon[step:]) <= rules.radius_m
+
+
+def shorts(us, lat, lon, rules: Rules) -> np.ndarray:
+    """Events whose run is sure to be too short to count, whatever follows these events."""
+    n, out = len(us), np.zeros(len(us), bool)
+    late = np.diff(us) > rules.gap_s * 1e6
+    for step in range(1, rules.min_events):
+        if n > step:
+            off = ~near_next(us, lat, lon, rules, step) | late[step - 1 :]
+            out[: n - step] |= off
+    return out
+
+
+def starts(us, lat, lon, rules: Rules, first: int = 0, short: np.ndarray | None = None) -> tuple[list[int], int]:
     """Positions of the boundaries of a walk that begins at ``first``, up to the first run that the end
     of the events leaves open; that run's position. A run too short to count gives way to its second event."""
     out, i, n = [], first, len(us)
+    longer = np.flatnonzero(~(shorts(us, lat, lon, rules) if short is None else short))
     while i < n:
+        at = int(np.searchsorted(longer, i))
+        k = int(longer[at]) if at < len(longer) else n
+        if k > i:
+            out += range(i, k)
+            i = k
+            continue
         j = reach(i, us, lat, lon, rules)
         if j == n:
             break
@@ -69,7 +99,7 @@ def starts(us, lat, lon, rules: Rules, first: int = 0) -> tuple[list[int], int]:
     return out, i
 
 
-def meeting(us, lat, lon, rules: Rules, last: int, end: int) -> int:
+def meeting(us, lat, lon, rules: Rules, last: int, end: int, short: np.ndarray) -> int:
     """The first boundary that the walks from all of the first ``last`` + 1 events share, ``end`` at the latest."""
     on = np.zeros(end + 1, bool)
     on[: last + 1] = True
@@ -77,8 +107,8 @@ def meeting(us, lat, lon, rules: Rules, last: int, end: int) -> int:
     while left > 1:
         while not on[i]:
             i += 1
-        j = reach(i, us, lat, lon, rules)
-        if j < len(us):  # else the run is open beyond these events, and so is what follows it
+        j = i + 1 if short[i] else reach(i, us, lat, lon, rules)
+        if j < len(us) and not short[i]:  # else the run is open beyond these events, and so is what follows it
             j = j if j - i >= rules.min_events else i + 1
         left -= on[j]
         on[j], on[i] = True, False
@@ -126,6 +156,24 @@ class Boundaries:
         self.count, self.last = self.count + count, last
         return True
 
+    def one(self, us: int, lat: float, lon: float) -> tuple | None:
+        """Take one further event; gives the run that it ends."""
+        done = None
+        while self.anchor is not None:
+            if us - self.last <= self.gap_us and _near(self.anchor, lat, lon, self.rules.radius_m):
+                self.count, self.last = self.count + 1, us
+                if self.count == 2:
+                    self.second = (us, lat, lon)
+                return done
+            if self.count >= self.rules.min_events:
+                done, self.anchor = self.end(), None
+            elif self.count == 2:
+                self._begin(*self.second)
+            else:
+                self.anchor = None
+        self._begin(us, lat, lon)
+        return done
+
     def push(self, us, lat, lon) -> Iterator[tuple]:
         """Take further events, at least one; gives the runs that they end."""
         i, n = 0, len(us)
@@ -166,9 +214,9 @@ def day_parts(device: str, us, lat, lon, rules: Rules) -> Iterator[tuple]:
     hop = metres(lat[:-1], lon[:-1], lat[1:], lon[1:])
     sure = np.flatnonzero((hop > 2 * rules.radius_m) | (np.diff(us) > rules.gap_s * 1e6))
     own = int(sure[0]) + 1 if len(sure) else n
-    far = spanning(lat[:own], lon[:own], rules)
+    far, short = spanning(lat[:own], lon[:own], rules), shorts(us, lat, lon, rules)
     if far is not None:
-        own = meeting(us, lat, lon, rules, far, own)
+        own = meeting(us, lat, lon, rules, far, own, short)
     if far is None and own >= 8:
         y, x = (float(c[:own].min() + c[:own].max()) / 2 for c in (lat, lon))
         body = b"".join(c[:own].tobytes() for c in (us.astype(np.int64), lat, lon))
@@ -177,7 +225,7 @@ def day_parts(device: str, us, lat, lon, rules: Rules) -> Iterator[tuple]:
         for k in range(own):
             yield device, int(us[k]), int(us[k]), 1, float(lat[k]), float(lon[k]), None, "event", None
     if own < n:
-        at, rest = starts(us, lat, lon, rules, own)
+        at, rest = starts(us, lat, lon, rules, own, short)
         count = np.diff([*at, rest])
         for i in np.flatnonzero(count >= rules.min_events).tolist():
             yield device, int(us[at[i]]), int(us[at[i] + count[i] - 1]), int(count[i]), None, None, None, "run", None
@@ -211,7 +259,7 @@ def near_runs(pings: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 if kind == "fresh":
                     yield from shown(filter(None, [runs.fresh(us, lat, lon, n, last)]))
                 elif kind == "event":
-                    yield from shown(runs.push(np.array([us]), np.array([lat]), np.array([lon])))
+                    yield from shown(filter(None, [runs.one(us, lat, lon)]))
                 elif not runs.holds(us, last, lat, lon, circle, n):
                     times, places = np.frombuffer(body, np.int64, n), np.frombuffer(body, np.float64, 2 * n, 8 * n)
                     yield from shown(runs.push(times, places[:n], places[n:]))
