@@ -8,9 +8,11 @@ equal those of a full rebuild, except that a device row, once there, stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -87,6 +89,14 @@ def _values(df: DataFrame, column: str) -> tuple[str, ...]:
     return clean(r[0] for r in df.select(column).distinct().collect())
 
 
+def together(tasks: dict[str, Callable[[], int]]) -> dict[str, int]:
+    """The results of tasks that don't depend on each other, submitted at once: while one is
+    planned or waits for its last tasks, the cores work for the others."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tasks))) as pool:
+        running = {n: pool.submit(f) for n, f in tasks.items()}
+        return {n: r.result() for n, r in running.items()}
+
+
 def refresh_silver(lake: Lake, batch_ids: Iterable[str] | None = None) -> SilverResult:
     """None: everything anew. No batch: nothing. Else the days that the batches touch."""
     batches = None if batch_ids is None else clean(batch_ids)
@@ -107,11 +117,13 @@ def refresh_silver(lake: Lake, batch_ids: Iterable[str] | None = None) -> Silver
     normalized = classify.normalize(bronze).persist(StorageLevel.MEMORY_AND_DISK)  # one scan and parse for three tables
     try:
         made = {"telemetry_events": classify.telemetry(normalized), "device_identity_events": classify.identity(normalized), "rejected_logs": classify.rejected(normalized)}
-        rows = {}
-        for name, df in made.items():
+
+        def write(name: str) -> int:
             table = lake.silver[name]
-            m = table.overwrite(df, SILVER[name]) if full else table.replace_where(df, days, based_on=before[name])
-            rows[name] = m.metrics["rows"]
+            m = table.overwrite(made[name], SILVER[name]) if full else table.replace_where(made[name], days, based_on=before[name])
+            return m.metrics["rows"]
+
+        rows = together({n: partial(write, n) for n in made})
         if full:
             events = {*lake.silver["telemetry_events"].partitions(), *lake.silver["device_identity_events"].partitions()}
             return SilverResult("FULL", clean(events), clean(lake.silver["rejected_logs"].partitions()), rows)
@@ -130,7 +142,6 @@ def refresh_gold(lake: Lake, event_dates: Iterable[str] | None = None, rejection
     before = {n: t.manifest().version if t.exists() else None for n, t in lake.gold.items()}
     t, i, r = (lake.silver[n].read() for n in SILVER)
     full = not asked or not lake.ready(lake.gold, GOLD)
-    rows: dict[str, int] = {}
     if full:
         made = {
             "dim_device": products.dim_device(t, i),
@@ -139,8 +150,7 @@ def refresh_gold(lake: Lake, event_dates: Iterable[str] | None = None, rejection
             "device_daily_summary": products.daily_summary(t),
             "data_quality_summary": products.quality_summary(t, i, r),
         }
-        for name, df in made.items():
-            rows[name] = lake.gold[name].overwrite(df, GOLD[name]).metrics["rows"]
+        rows = together({n: lambda n=n: lake.gold[n].overwrite(made[n], GOLD[n]).metrics["rows"] for n in made})
         dates = clean([*lake.silver["telemetry_events"].partitions(), *lake.silver["device_identity_events"].partitions()])
         return GoldResult("FULL", dates, clean(lake.gold["data_quality_summary"].partitions()), rows)
     metric = clean([*events, *rejections])
@@ -156,11 +166,10 @@ def refresh_gold(lake: Lake, event_dates: Iterable[str] | None = None, rejection
         "device_daily_summary": products.daily_summary(t_events),
         "data_quality_summary": products.quality_summary(t_days, i_days, r_days),
     }
-    for name in ("dim_device", "device_last_position"):
-        rows[name] = lake.gold[name].merge_upsert(made[name], "device_serial")
-    for name in ("device_route_points", "device_daily_summary"):
-        rows[name] = lake.gold[name].replace_where(made[name], events, based_on=before[name]).metrics["rows"]
-    rows["data_quality_summary"] = lake.gold["data_quality_summary"].replace_where(made["data_quality_summary"], metric, based_on=before["data_quality_summary"]).metrics["rows"]
+    devices_of = {n: lambda n=n: lake.gold[n].merge_upsert(made[n], "device_serial") for n in ("dim_device", "device_last_position")}
+    replaced = {"device_route_points": events, "device_daily_summary": events, "data_quality_summary": metric}
+    days_of = {n: lambda n=n, days=days: lake.gold[n].replace_where(made[n], days, based_on=before[n]).metrics["rows"] for n, days in replaced.items()}
+    rows = together(devices_of | days_of)
     return GoldResult("INCREMENTAL", events, rejections, rows)
 
 
@@ -175,26 +184,38 @@ def run(lake: Lake, folders: inbox.Folders, ingested_at: datetime | None = None)
     return PipelineResult("SUCCESS", loaded, silver, refresh_gold(lake, silver.event_dates, silver.rejection_dates))
 
 
-def full_refresh(spark: SparkSession, csv_path: str, out: str) -> dict[str, str]:
-    """The plain lane: one CSV to Parquet folders, all written anew, without a table store."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').option("multiLine", True).csv(csv_path)
-    df = df.toDF(*[c.strip() for c in df.columns])
+def full_refresh(spark: SparkSession, csv_path: str, out: str, infer: bool = False) -> dict[str, str]:
+    """The plain lane: CSV to Parquet folders, all written anew, without a table store; days are dates.
+
+    The loaded rows are a folder of their own, and the name of the file of that folder is a row's
+    ``source_file`` unless the CSV has one. ``infer`` types the CSV's columns by their content, by which
+    identity numbers in measure columns lose their writing; without it all columns are text.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", infer).option("escape", '"').option("multiLine", True)
+    df = reader.option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(csv_path)  # without a format, "T2" is inferred as a time
+    paths = {"tracker_logs": f"{out}/tracker_logs"}
+    df.toDF(*[c.strip() for c in df.columns]).write.mode("overwrite").option("compression", "zstd").parquet(paths["tracker_logs"])
+    df = spark.read.parquet(paths["tracker_logs"])
     df = df.select("*", F.col("_metadata.file_path").alias("source_file")) if "source_file" not in df.columns else df
     for name in LINEAGE:
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("bigint" if name == "source_row_number" else "timestamp" if name == "ingested_at" else "string"))
     normalized = classify.normalize(df)
     typed = {"telemetry_events": classify.telemetry(normalized), "device_identity_events": classify.identity(normalized), "rejected_logs": classify.rejected(normalized)}
-    paths = {}
 
     def write(df: DataFrame, name: str, by: str | None) -> DataFrame:
         paths[name] = f"{out}/{name}"
+        for day in {"event_date", "last_position_date"} & set(df.columns):
+            df = df.withColumn(day, F.col(day).try_cast("date"))
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(paths[name])
-        # union by name over all partitions; days stay text because the schema is given
+        # union by name over all partitions, with the types that were written
         return spark.read.schema(df.schema).parquet(paths[name])
 
-    t, i, r = (write(typed[n], n, SILVER[n]) for n in SILVER)
+    def texts(df: DataFrame) -> DataFrame:
+        return df.withColumn("event_date", F.col("event_date").cast("string")) if "event_date" in df.columns else df
+
+    t, i, r = (texts(write(typed[n], n, SILVER[n])) for n in SILVER)
     write(products.dim_device(t, i), "dim_device", None)
     write(products.last_position(t), "device_last_position", None)
     write(products.daily_summary(t), "device_daily_summary", "event_date")

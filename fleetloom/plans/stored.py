@@ -21,7 +21,7 @@ from fleetloom.sources.store import Table
 
 #: Loaded columns that the twins compare; the load time travels as microseconds.
 KEPT = ("batch_id", "row_id", "source_file", "source_file_hash", "source_row_number", "ingestion_date", "TM_STAMP", "DATA_SERVIDOR", "MESS_TYPE", "LAT", "LONT", "SER_COUNT")
-LAKES: dict[tuple[str, str], pipeline.Lake] = {}
+LAKES: dict[tuple[str, str], object] = {}
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -95,12 +95,33 @@ def lake(spark: SparkSession, sf_dir: str) -> pipeline.Lake:
     return LAKES[key]
 
 
+def plain(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Folders of the plain lane, from the logs as CSV, once per application and input."""
+    key = (spark.sparkContext.applicationId, f"plain {sf_dir}")
+    if key not in LAKES:
+        folder = f"{shared_dir(spark)}/plain/{uuid.uuid4().hex}"
+        kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        logs(spark, sf_dir).write.options(**kept).csv(f"{folder}/csv")
+        LAKES[key] = pipeline.full_refresh(spark, f"{folder}/csv", f"{folder}/out")
+    return LAKES[key]
+
+
+def plain_daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain lane's daily product, whose days are dates."""
+    return spark.read.parquet(plain(spark, sf_dir)["device_daily_summary"]).withColumn("event_date", F.col("event_date").cast("date"))
+
+
+def plain_last_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(plain(spark, sf_dir)["device_last_position"])
+
+
 def _of_lake(layer: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: getattr(lake(spark, sf_dir), layer)[name].read()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_rows": store_rows, "store_partition": store_partition, "store_version": store_version, "store_delete": store_delete, "store_overwrite": store_overwrite, "store_evolved": store_evolved,
+    "plain_daily_summary": plain_daily_summary, "plain_last_position": plain_last_position,
     "lake_bronze": lambda spark, sf_dir: _kept(lake(spark, sf_dir).bronze.read()),
     "lake_telemetry": _of_lake("silver", "telemetry_events"), "lake_identity": _of_lake("silver", "device_identity_events"), "lake_rejected": _of_lake("silver", "rejected_logs"),
     "lake_dim_device": _of_lake("gold", "dim_device"), "lake_last_position": _of_lake("gold", "device_last_position"), "lake_route_points": _of_lake("gold", "device_route_points"),
@@ -119,6 +140,8 @@ SQL: dict[str, str] = {
     "store_rows": f"{_STORED} SELECT {_COLUMNS} FROM stored",
     "lake_bronze": f"{_STORED} SELECT {_COLUMNS} FROM stored",
     "store_partition": f"{_STORED} SELECT {_COLUMNS} FROM stored WHERE ingestion_date IN (SELECT min(ingestion_date) FROM stored UNION SELECT max(ingestion_date) FROM stored)",
+    "plain_daily_summary": f"WITH {_with()} SELECT * REPLACE (CAST(event_date AS DATE) AS event_date) FROM ({_SQL_TAIL['daily_summary']})",
+    "plain_last_position": f"WITH {_with()} SELECT * REPLACE (CAST(last_position_date AS DATE) AS last_position_date) FROM ({_SQL_TAIL['last_position']})",
     "store_version": f"{_SPLIT} SELECT batch_id, count(*) AS row_count FROM old GROUP BY batch_id",
     "store_delete": f"WITH {_with()}, {_DAYS} SELECT * FROM ({_daily('unique_telemetry')}) WHERE event_date NOT IN (FROM days)",
     "store_overwrite": 'SELECT ingestion_date, "MESS_TYPE", count(*) AS row_count FROM tracker_logs GROUP BY ALL',

@@ -186,3 +186,6 @@ def test_plain_lane(spark, tmp_path):
     inbox.write_csv(tmp_path / "a.csv", [message(), IDENTITY, NO_TIME])
     paths = pipeline.full_refresh(spark, str(tmp_path / "a.csv"), str(tmp_path / "out"))
     assert spark.read.parquet(paths["device_daily_summary"]).count() == 1 and spark.read.parquet(paths["dim_device"]).count() == 1
+    days = spark.read.schema("event_date date").parquet(paths["telemetry_events"])
+    assert [r[0] for r in days.collect()] == [date(2026, 8, 10)] and dict(spark.read.parquet(paths["device_last_position"]).dtypes)["last_position_date"] == "date"
+    assert spark.read.parquet(pipeline.full_refresh(spark, str(tmp_path / "a.csv"), str(tmp_path / "typed"), infer=True)["device_daily_summary"]).count() == 1
