@@ -59,6 +59,7 @@ class Rules:
 _WORD = re.compile(r"[^\W_]+")
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 _HYPHEN_BREAK = re.compile(r"(?<=[^\W\d_])[-­‐]\s*\n\s*(?=[^\W\d_])")
+_COMBINING = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))) + "]+")
 _HIDDEN = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 # fixed values: Greek and Cyrillic letters that look like Latin ones
 _LOOKALIKES = str.maketrans("аеорсухкмтвніјѕԁοαερτυνικ", "aeopcyxkmtbhijsdoaeptuvik")
@@ -68,7 +69,7 @@ def words(text: str) -> list[str]:
     """Words without case, accents, hidden characters and look-alike letters."""
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.translate(_HIDDEN))
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _COMBINING.sub("", text)
     text = _APOSTROPHE.sub("", _HYPHEN_BREAK.sub("", text)).casefold()
     if not text.isascii():
         text = text.translate(_LOOKALIKES)
@@ -148,6 +149,14 @@ def close(a: str, b: str) -> bool:
     return last[m] <= most
 
 
+def _letters(word: str) -> int:
+    """The letters that occur, as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 class Item:
     """A passage prepared for alignment. ``formulas``: its sentences that stand in many items."""
 
@@ -163,13 +172,13 @@ class Item:
         for i, w in enumerate(self.words):
             self.at[w] |= 1 << i
         # a damaged word keeps its first or its last letter
-        self.first: dict[str, list[str]] = defaultdict(list)
-        self.last: dict[str, list[str]] = defaultdict(list)
+        self.first: dict[str, list[tuple[str, int]]] = defaultdict(list)
+        self.last: dict[str, list[tuple[str, int]]] = defaultdict(list)
         for w in dict.fromkeys(self.words):
             if len(w) > 2:
-                self.first[w[0]].append(w)
+                self.first[w[0]].append((w, _letters(w)))
                 if w[0] != w[-1]:
-                    self.last[w[-1]].append(w)
+                    self.last[w[-1]].append((w, _letters(w)))
         self.masks: dict[str, int] = {}
 
     def mask(self, word: str) -> int:
@@ -179,11 +188,10 @@ class Item:
             known = self.at.get(word, 0)
             n = len(word)
             if not known and n > 2:
-                for w in self.first.get(word[0], ()):
-                    if -3 < len(w) - n < 3 and close(w, word):
-                        known |= self.at[w]
-                for w in self.last.get(word[-1], ()):
-                    if -3 < len(w) - n < 3 and close(w, word):
+                letters = _letters(word)
+                for w, own in (*self.first.get(word[0], ()), *self.last.get(word[-1], ())):
+                    # an edit changes two of the letters that occur at most
+                    if -3 < len(w) - n < 3 and (letters ^ own).bit_count() <= 4 and close(w, word):
                         known |= self.at[w]
             if len(self.masks) < 50_000:
                 self.masks[word] = known
@@ -244,9 +252,9 @@ class Index:
             hashes.append(h)
             owners.append(np.full(len(h), n))
             places.append(np.arange(len(h)))
-            # a k-gram counts if it reaches beyond the formulas
+            # a k-gram counts if it lies beside the formulas
             sums = np.r_[0, np.cumsum(item.counts)]
-            counts.append(sums[rules.k :] > sums[: -rules.k] if len(h) else np.zeros(0, bool))
+            counts.append(sums[rules.k :] - sums[: -rules.k] == rules.k if len(h) else np.zeros(0, bool))
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes = flat[order]
@@ -277,13 +285,13 @@ class Index:
             return
         at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
         q, owner, place, counts = np.repeat(some, times), self.owners[at], self.places[at], self.counts[at]
-        # nothing but formulas of an item: nothing that counts
-        own = np.zeros(len(self.items), bool)
-        own[owner[counts]] = True
-        kept = own[owner]
-        if kept.sum() < self.rules.min_hits:
+        # an item with few hits, or with none beside its formulas, is nothing here
+        kept = np.bincount(owner, minlength=len(self.items)) >= self.rules.min_hits
+        kept &= np.bincount(owner[counts], minlength=len(self.items)) > 0
+        kept = kept[owner]
+        if not kept.any():
             return
-        q, owner, place = q[kept], owner[kept], place[kept]
+        q, owner, place, counts = q[kept], owner[kept], place[kept], counts[kept]
         # a carried span lies on one diagonal, insertions and damage aside
         starts = np.cumsum([0, *map(len, tokens)])
         bands: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
@@ -301,15 +309,21 @@ class Index:
                     bands[n].append(found)
         for n, found in bands.items():
             item = self.items[n]
-            beside = hashes[np.setdiff1d(picked, q[owner == n])]
+            mine = owner == n
+            beside = np.ones(len(hashes), bool)
+            beside[q[mine]] = False
+            beside = hashes[picked[beside[picked]]]
+            own = q[mine & counts]
             sketch = int(beside.min().view(np.int64)) if len(beside) else 0  # copies share it, light corrections mostly
             covered: list[tuple[int, int]] = []
             for _, first, last in sorted(found, reverse=True):
                 i = max(0, int(np.searchsorted(starts, first)) - len(item.words))
                 j = min(len(tokens), int(np.searchsorted(starts, last)) + len(item.words))
                 if not any(a <= i and j <= b for a, b in covered):
-                    i, j = max(0, i - 20), j + 20
+                    i, j = max(0, i - 20), min(len(tokens), j + 20)
                     covered.append((i, j))
+                    if not ((own >= starts[i]) & (own < starts[j])).any():  # formulas alone
+                        continue
                     yield item.id, item.carried(tokens[i:j], self.rules.run_words), item, sketch, i
 
 
