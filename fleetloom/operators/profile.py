@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, NumericType
 
-from fleetloom.session import checkpointed, shared_dir
+from fleetloom.session import checkpointed, shared_dir, small_side
 
 CHUNKS = "file string, row_group int, column string, rows bigint, nulls bigint, low string, high string, exact boolean, dictionary boolean"
 
@@ -347,12 +347,12 @@ def departures(stats: DataFrame, rules: Rules) -> DataFrame:
     enough = F.col("values") >= rules.min_values
     middle = lambda c: F.percentile_approx(F.when(enough, F.col(c)), 0.5)
     usual = stats.groupBy("column").agg(middle("level").alias("u_level"), middle("spread").alias("u_spread"), middle("share").alias("u_share"))
-    stats = stats.join(usual, "column")
+    stats = stats.join(small_side(usual), "column")  # a row per column
     off = stats.groupBy("column").agg(
         F.percentile_approx(F.when(enough, F.abs(F.col("level") - F.col("u_level"))), 0.5).alias("d_level"),
         F.percentile_approx(F.when(enough, F.abs(F.col("spread") - F.col("u_spread"))), 0.5).alias("d_spread"),
     )
-    stats = stats.join(off, "column")
+    stats = stats.join(small_side(off), "column")
     z = lambda c: F.abs(F.col(c) - F.col(f"u_{c}")) / F.greatest(1.4826 * F.col(f"d_{c}"), 1e-3 * F.abs(F.col(f"u_{c}")), F.lit(1e-9))
     reason = (
         F.when(2 * F.col("nulls") > F.col("n"), "nulls")

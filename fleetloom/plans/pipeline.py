@@ -8,8 +8,7 @@ equal those of a full rebuild, except that a device row, once there, stays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import partial
@@ -21,7 +20,8 @@ from pyspark.sql.types import StringType
 
 from fleetloom.operators import classify, products
 from fleetloom.operators.classify import LINEAGE
-from fleetloom.sources import inbox
+from fleetloom.session import together
+from fleetloom.sources import inbox, shared
 from fleetloom.sources.store import Table
 
 SILVER = {"telemetry_events": "event_date", "device_identity_events": "event_date", "rejected_logs": "rejection_date"}
@@ -89,14 +89,6 @@ def _values(df: DataFrame, column: str) -> tuple[str, ...]:
     return clean(r[0] for r in df.select(column).distinct().collect())
 
 
-def together(tasks: dict[str, Callable[[], int]]) -> dict[str, int]:
-    """The results of tasks that don't depend on each other, submitted at once: while one is
-    planned or waits for its last tasks, the cores work for the others."""
-    with ThreadPoolExecutor(max_workers=max(1, len(tasks))) as pool:
-        running = {n: pool.submit(f) for n, f in tasks.items()}
-        return {n: r.result() for n, r in running.items()}
-
-
 def refresh_silver(lake: Lake, batch_ids: Iterable[str] | None = None) -> SilverResult:
     """None: everything anew. No batch: nothing. Else the days that the batches touch."""
     batches = None if batch_ids is None else clean(batch_ids)
@@ -173,9 +165,10 @@ def refresh_gold(lake: Lake, event_dates: Iterable[str] | None = None, rejection
     return GoldResult("INCREMENTAL", events, rejections, rows)
 
 
-def run(lake: Lake, folders: inbox.Folders, ingested_at: datetime | None = None) -> PipelineResult:
-    """Load the inbox and refresh what it touches."""
-    loaded = inbox.load(lake.spark, folders, lake.bronze, lake.control, ingested_at)
+def run(lake: Lake, folders: inbox.Folders | shared.Folders, ingested_at: datetime | None = None) -> PipelineResult:
+    """Load the inbox, local or shared, and refresh what it touches."""
+    source = shared if isinstance(folders, shared.Folders) else inbox
+    loaded = source.load(lake.spark, folders, lake.bronze, lake.control, ingested_at)
     if not loaded.batch_ids:
         return PipelineResult("NOOP", loaded)
     silver = refresh_silver(lake, loaded.batch_ids)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from fleetloom.plans import pipeline
 from fleetloom.plans.products import _DAYS, _SPLIT, _SQL_TAIL, _daily, _splits, _stored, _with, affected_dates, daily_summary, logs
 from fleetloom.session import shared_dir
-from fleetloom.sources.store import Table
+from fleetloom.sources import inbox, shared
+from fleetloom.sources.store import Files
 
 #: Loaded columns that the twins compare; the load time travels as microseconds.
 KEPT = ("batch_id", "row_id", "source_file", "source_file_hash", "source_row_number", "ingestion_date", "TM_STAMP", "DATA_SERVIDOR", "MESS_TYPE", "LAT", "LONT", "SER_COUNT")
@@ -115,13 +116,31 @@ def plain_last_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(plain(spark, sf_dir)["device_last_position"])
 
 
+def inbox_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of the logs offered as CSV in a shared inbox, and what the loaded table holds of it."""
+    root = f"{shared_dir(spark)}/inbox/{uuid.uuid4().hex}"
+    raw = [f"`{c}`" for c in inbox.REQUIRED]
+    rows = logs(spark, sf_dir).dropDuplicates(["row_id"]).select("source_file_hash", "source_row_number", *raw)
+    rows = rows.repartition("source_file_hash").sortWithinPartitions("source_file_hash", "source_row_number").drop("source_row_number")
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(**kept).partitionBy("source_file_hash").csv(f"{root}/made")
+    folders, files = shared.Folders.under(spark, root), Files(spark)
+    for name in files.names(f"{root}/made"):  # a name per file
+        if name.startswith("source_file_hash="):
+            part = next(n for n in files.names(f"{root}/made/{name}") if n.endswith(".csv"))
+            files.rename(f"{root}/made/{name}/{part}", f"{folders.inbox}/{name.partition('=')[2]}.csv")
+    made = pipeline.Lake(spark, f"{root}/lake")
+    shared.load(spark, folders, made.bronze, made.control)
+    return made.bronze.read().select("source_file", "source_row_number", *raw)
+
+
 def _of_lake(layer: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: getattr(lake(spark, sf_dir), layer)[name].read()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "store_rows": store_rows, "store_partition": store_partition, "store_version": store_version, "store_delete": store_delete, "store_overwrite": store_overwrite, "store_evolved": store_evolved,
-    "plain_daily_summary": plain_daily_summary, "plain_last_position": plain_last_position,
+    "inbox_rows": inbox_rows, "plain_daily_summary": plain_daily_summary, "plain_last_position": plain_last_position,
     "lake_bronze": lambda spark, sf_dir: _kept(lake(spark, sf_dir).bronze.read()),
     "lake_telemetry": _of_lake("silver", "telemetry_events"), "lake_identity": _of_lake("silver", "device_identity_events"), "lake_rejected": _of_lake("silver", "rejected_logs"),
     "lake_dim_device": _of_lake("gold", "dim_device"), "lake_last_position": _of_lake("gold", "device_last_position"), "lake_route_points": _of_lake("gold", "device_route_points"),
@@ -140,6 +159,8 @@ SQL: dict[str, str] = {
     "store_rows": f"{_STORED} SELECT {_COLUMNS} FROM stored",
     "lake_bronze": f"{_STORED} SELECT {_COLUMNS} FROM stored",
     "store_partition": f"{_STORED} SELECT {_COLUMNS} FROM stored WHERE ingestion_date IN (SELECT min(ingestion_date) FROM stored UNION SELECT max(ingestion_date) FROM stored)",
+    "inbox_rows": f"""SELECT source_file_hash || '.csv' AS source_file, row_number() OVER (PARTITION BY source_file_hash ORDER BY source_row_number) AS source_row_number, {', '.join(f"coalesce({chr(34)}{c}{chr(34)}, '') AS {chr(34)}{c}{chr(34)}" for c in inbox.REQUIRED)}
+FROM (SELECT DISTINCT ON (row_id) * FROM tracker_logs)""",
     "plain_daily_summary": f"WITH {_with()} SELECT * REPLACE (CAST(event_date AS DATE) AS event_date) FROM ({_SQL_TAIL['daily_summary']})",
     "plain_last_position": f"WITH {_with()} SELECT * REPLACE (CAST(last_position_date AS DATE) AS last_position_date) FROM ({_SQL_TAIL['last_position']})",
     "store_version": f"{_SPLIT} SELECT batch_id, count(*) AS row_count FROM old GROUP BY batch_id",

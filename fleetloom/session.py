@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -67,6 +71,14 @@ def small_side(df, rows: int = 500_000):
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def together(tasks: dict[str, Callable[[], T]]) -> dict[str, T]:
+    """The results of tasks that don't depend on each other, submitted at once: while one is
+    planned or waits for its last tasks, the cores work for the others."""
+    with ThreadPoolExecutor(max_workers=max(1, len(tasks))) as pool:
+        running = {n: pool.submit(f) for n, f in tasks.items()}
+        return {n: r.result() for n, r in running.items()}
+
+
 def spread(df, key: str):
     """The rows over all cores where few files would leave most of them idle.
 

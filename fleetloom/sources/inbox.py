@@ -123,19 +123,25 @@ def check(path: Path) -> Checked:
     try:
         encoding = encoding_of(path)
         with open(path, encoding=encoding, newline="") as f:
-            rows = (r for r in csv.reader(f, strict=True) if r)
-            header = tuple(c.strip() for c in next(rows, ()))
-            if not any(header):
-                return Checked(path, "no header", encoding=encoding)
-            count = 0
-            for r in rows:
-                count += 1
-                if len(r) > len(header):
-                    return Checked(path, f"record {count} has {len(r)} fields, the header {len(header)}", count, header, encoding)
-    except csv.Error as e:
-        return Checked(path, f"inconsistent structure: {e}", encoding=encoding)
+            return judge_text(path, encoding, f)
     except OSError as e:
         return Checked(path, f"unreadable: {e}")
+
+
+def judge_text(path: Path, encoding: str, text: Iterable[str]) -> Checked:
+    """The structure of a file that is open as text."""
+    try:
+        rows = (r for r in csv.reader(text, strict=True) if r)
+        header = tuple(c.strip() for c in next(rows, ()))
+        if not any(header):
+            return Checked(path, "no header", encoding=encoding)
+        count = 0
+        for r in rows:
+            count += 1
+            if len(r) > len(header):
+                return Checked(path, f"record {count} has {len(r)} fields, the header {len(header)}", count, header, encoding)
+    except csv.Error as e:
+        return Checked(path, f"inconsistent structure: {e}", encoding=encoding)
     if len(set(header)) < len(header):
         return Checked(path, "a column name occurs twice", count, header, encoding)
     missing = tuple(c for c in REQUIRED if c not in header)
@@ -169,7 +175,13 @@ def quarantine(checked: Checked, folder: Path) -> Path:
     """Move a rejected file, with a report of seven lines beside it."""
     folder.mkdir(parents=True, exist_ok=True)
     target = Path(shutil.move(str(checked.path), str(_free(folder, checked.path.name))))
-    report = {
+    target.with_name(target.name + ".error.txt").write_text(report(checked), encoding="utf-8")
+    return target
+
+
+def report(checked: Checked) -> str:
+    """Seven lines on a rejected file."""
+    lines = {
         "source_file": checked.path.name,
         "quarantined_at": datetime.now(UTC).isoformat(),
         "reason": checked.error,
@@ -178,8 +190,12 @@ def quarantine(checked: Checked, folder: Path) -> Path:
         "detected_encoding": checked.encoding,
         "row_count": checked.row_count,
     }
-    target.with_name(target.name + ".error.txt").write_text("\n".join(f"{k}={v}" for k, v in report.items()), encoding="utf-8")
-    return target
+    return "\n".join(f"{k}={v}" for k, v in lines.items())
+
+
+def _address(path) -> str:
+    """A local path as an address; others are addresses."""
+    return path.resolve().as_uri() if isinstance(path, Path) else str(path)
 
 
 def read_files(spark: SparkSession, files: Iterable[tuple[Checked, str]]) -> list[DataFrame]:
@@ -198,7 +214,7 @@ def read_files(spark: SparkSession, files: Iterable[tuple[Checked, str]]) -> lis
             spark.read.schema(StructType([StructField(p, StringType()) for p in positions]))
             .option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("enforceSchema", True)
             .option("encoding", "ISO-8859-1" if encoding == "latin-1" else "UTF-8")
-            .csv([c.path.resolve().as_uri() for c, _ in group])
+            .csv([_address(c.path) for c, _ in group])
         )
         name = F.col("_metadata.file_name")
         df = df.select(*[F.coalesce(F.col(p), F.lit("")).alias(h) for p, h in zip(positions, header)], F.url_decode(F.regexp_replace(name, r"\+", "%2B")).alias("source_file"), F.monotonically_increasing_id().alias("__at"))
@@ -299,6 +315,15 @@ def load(spark: SparkSession, folders: Folders, bronze: Table, control: Table, i
     _log(control, events)
     for c in bad:
         quarantine(c, folders.quarantine)
+    inserted = insert(spark, sound, batch_id, bronze, control, ingested_at)
+    done += [c.path for c, _, _ in sound]
+    for path in done:
+        archive(path, folders.archive)
+    return Loaded(batch_id, sum(inserted.values()), tuple(sorted(inserted)), tuple(checked))
+
+
+def insert(spark: SparkSession, sound: list[tuple[Checked, str, datetime]], batch_id: str, bronze: Table, control: Table, ingested_at: datetime | None) -> dict[str, int]:
+    """Sound files into the table, in one job per header, with their events; gives the rows that each brought."""
     inserted: dict[str, int] = {}
     if sound:
         try:
@@ -314,10 +339,7 @@ def load(spark: SparkSession, folders: Folders, bronze: Table, control: Table, i
             n = inserted.get(c.path.name, 0)
             ends.append(control_event(batch_id, c.path.name, d, "SUCCESS", at, row_count=c.row_count, inserted_row_count=n, duplicate_row_count=max(c.row_count - n, 0), status_reason="inserted by row id"))
         _log(control, ends)
-        done += [c.path for c, _, _ in sound]
-    for path in done:
-        archive(path, folders.archive)
-    return Loaded(batch_id, sum(inserted.values()), tuple(sorted(inserted)), tuple(checked))
+    return inserted
 
 
 def _log(control: Table, events: list[tuple]) -> None:
