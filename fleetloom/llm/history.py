@@ -34,7 +34,7 @@ from fleetloom.functions.plan import computed_once
 from fleetloom.functions.streams import record_batches
 from fleetloom.operators.lateness import DAY_US
 from fleetloom.operators.timestamps import first_instant, with_instants
-from fleetloom.session import checkpointed, small_side
+from fleetloom.session import checkpointed, small_side, together
 from fleetloom.sources.store import Conflict, Staged, Table
 
 #: The columns of a message that are readings.
@@ -301,8 +301,11 @@ class History:
 
     def _take(self, rows: DataFrame, loads: list[tuple]) -> DataFrame:
         token = hashlib.sha256(repr(loads).encode()).hexdigest()[:32]
-        records = self.table.stage(self._records(rows), "key_range", [*KEY, "ord"])
-        ids = self.ids.stage(self._ids(rows), "key_range", ["file", "row_id"])
+        staged = together({
+            "records": lambda: self.table.stage(self._records(rows), "key_range", [*KEY, "ord"]),
+            "ids": lambda: self.ids.stage(self._ids(rows), "key_range", ["file", "row_id"]),
+        })
+        records, ids = staged["records"], staged["ids"]
         while True:
             versions = [t.manifest().version if t.exists() else -1 for t in (self.table, self.ids)]
             found = self._found(records, ids, versions, token)
@@ -317,10 +320,12 @@ class History:
 
     def _found(self, records: Staged, ids: Staged, versions: list[int], token: str) -> DataFrame:
         self.reads.append({})
-        by_message = self._by_message(self.table.leaves(records.leaves, records.struct), records.values, versions[0])
-        by_id = self._by_id(self.ids.leaves(ids.leaves, ids.struct), ids.values, versions[1])
+        copies = together({
+            "id": lambda: self._by_id(self.ids.leaves(ids.leaves, ids.struct), ids.values, versions[1]),
+            "message": lambda: self._by_message(self.table.leaves(records.leaves, records.struct), records.values, versions[0]),
+        })
         target = f"{self.path}/found/{token}"
-        by_id.unionByName(by_message).distinct().write.mode("overwrite").parquet(target)
+        copies["id"].unionByName(copies["message"]).distinct().write.mode("overwrite").parquet(target)
         return self.spark.read.schema("batch_id string, row_id string").parquet(target)
 
     def add_in_order(self, logs: DataFrame, clocks: DataFrame, at_once: int = 32) -> DataFrame:

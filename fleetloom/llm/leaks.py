@@ -32,6 +32,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,21 +58,28 @@ class Rules:
 
 
 _WORD = re.compile(r"[^\W_]+")
-_APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
-_HYPHEN_BREAK = re.compile(r"(?<=[^\W\d_])[-­‐]\s*\n\s*(?=[^\W\d_])")
+# the mark comes first, then what stands before it: a search for one of few characters is quick
+_APOSTROPHE = re.compile(r"['’ʼ`´](?<=\w.)(?=\w)")
+_HYPHEN_BREAK = re.compile(r"[-­‐](?<=[^\W\d_].)\s*\n\s*(?=[^\W\d_])")
 _COMBINING = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))) + "]+")
-_HIDDEN = dict.fromkeys([0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+_OTHER = re.compile("[^\x00-\u0482\u2000-\u206f]")  # scripts whose combining characters are not accents
+_FOREIGN = re.compile("[\u0370-\u052f]")
 # fixed values: Greek and Cyrillic letters that look like Latin ones
 _LOOKALIKES = str.maketrans("аеорсухкмтвніјѕԁοαερτυνικ", "aeopcyxkmtbhijsdoaeptuvik")
 
 
 def words(text: str) -> list[str]:
     """Words without case, accents, hidden characters and look-alike letters."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_HIDDEN))
-        text = _COMBINING.sub("", text)
+    # steps that find nothing are skipped: most texts need none of them
+    plain = text.isascii()
+    if not plain:
+        text = _ACCENTS.sub("", unicodedata.normalize("NFKD", _HIDDEN.sub("", text)))
+        if _OTHER.search(text):
+            text = _COMBINING.sub("", text)
     text = _APOSTROPHE.sub("", _HYPHEN_BREAK.sub("", text)).casefold()
-    if not text.isascii():
+    if not plain and _FOREIGN.search(text):
         text = text.translate(_LOOKALIKES)
     return _WORD.findall(text)
 
@@ -149,6 +157,7 @@ def close(a: str, b: str) -> bool:
     return last[m] <= most
 
 
+@lru_cache(maxsize=100_000)
 def _letters(word: str) -> int:
     """The letters that occur, as bits."""
     bits = 0
@@ -189,10 +198,11 @@ class Item:
             n = len(word)
             if not known and n > 2:
                 letters = _letters(word)
-                for w, own in (*self.first.get(word[0], ()), *self.last.get(word[-1], ())):
-                    # an edit changes two of the letters that occur at most
-                    if -3 < len(w) - n < 3 and (letters ^ own).bit_count() <= 4 and close(w, word):
-                        known |= self.at[w]
+                for near in (self.first.get(word[0], ()), self.last.get(word[-1], ())):
+                    for w, own in near:
+                        # an edit changes two of the letters that occur at most
+                        if (letters ^ own).bit_count() <= 4 and -3 < len(w) - n < 3 and close(w, word):
+                            known |= self.at[w]
             if len(self.masks) < 50_000:
                 self.masks[word] = known
         return known
@@ -214,19 +224,21 @@ class Item:
         """(passage word, region word) matched in order: a longest common subsequence."""
         n = len(self.words)
         full = (1 << n) - 1
-        masks, rows, v = [], [], full
-        for i, w in enumerate(region):
-            m = self.mask(w)
-            if i + 1 < len(region):
-                m |= self.at.get(w + region[i + 1], 0)
-            masks.append(m)
-            u = v & m
-            v = ((v + u) | (v - u)) & full
+        rows, v = [], full
+        known, joined = self.masks, self.at
+        for w, following in zip(region, [*region[1:], ""]):
+            m = known.get(w)
+            if m is None:
+                m = self.mask(w)
+            if u := v & (m | joined.get(w + following, 0)):
+                v = ((v + u) | (v - u)) & full
             rows.append(v)
         out, j = [], n - 1
         for i in range(len(region) - 1, -1, -1):
             if j < 0:
                 break
+            if rows[i] is (rows[i - 1] if i else full):  # nothing was matched here
+                continue
             # bits of a row that are 0 up to j: the length for the first j + 1 words
             low = (1 << (j + 1)) - 1
             here = j + 1 - (rows[i] & low).bit_count()

@@ -305,6 +305,22 @@ def test_copies_of_a_leak_are_no_formula(spark, bound):
     assert found == {(i, 1) for i in [*range(8), *range(10, 18)]}
 
 
+def test_leaks_are_found_however_often_they_leak(spark):
+    """One sentence of 20 words or two of 11, each in 1, 5, 50 or 500 documents with other texts around it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("bcdfgklmnrst" if k % 2 else "aeiou", k=1)[0] for k in range(rng.randrange(4, 9)))
+    some = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    passages = {10 * k + n: some(20) if n == 1 else f"{some(11)} {some(11)}" for k in range(4) for n in (1, 2)}
+    texts, expected = [], set()
+    for item, passage in passages.items():
+        for _ in range((1, 5, 50, 500)[item // 10]):
+            expected.add((len(texts), item))
+            texts.append(f"{some(30)} {passage} {some(30)}")
+    docs = spark.createDataFrame(list(enumerate([*texts, *(some(80) for _ in range(50))])), "doc_id bigint, text string")
+    items = spark.createDataFrame(list(passages.items()), "item_id bigint, passage string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()} == expected
+
+
 @pytest.mark.parametrize("bound", [2_000_000, 0])
 def test_a_formula_elsewhere_hides_no_leak(spark, bound):
     formula = "The honourable member for the northern district will now resume the seat at once."
