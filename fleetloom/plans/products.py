@@ -305,7 +305,7 @@ FROM {source} WHERE has_valid_coordinates AND NOT (latitude = 0 AND longitude =
 QUALIFY row_number() OVER (PARTITION BY device_serial ORDER BY event_timestamp DESC, server_timestamp DESC NULLS LAST, serial_count DESC NULLS LAST, row_id DESC, batch_id DESC) = 1"""
 
 
-_VERSION = "coalesce({0}, {1}) AS current_protocol_version"
+_OF_IDENTITY = "of_identity"
 _SQL_TAIL = {
     "normalize": f"SELECT {_ROWS}, {_ALL} FROM normalized",
     "telemetry_events": "SELECT * FROM telemetry",
@@ -323,30 +323,25 @@ SELECT event_date, device_serial,
 FROM unique_telemetry WHERE has_valid_coordinates AND NOT (latitude = 0 AND longitude = 0)""",
     "daily_summary": _daily("unique_telemetry"),
     "dim_device": f"""
-SELECT device_serial, current_imei, current_imsi, current_iccid, current_identity_auxiliary, coalesce(identity_version, telemetry_version) AS current_protocol_version,
-  first_seen_at, last_seen_at, first_identity_at, last_identity_at, first_telemetry_at, last_telemetry_at, coalesce(identity_event_count, 0) AS identity_event_count,
-  coalesce(telemetry_event_count, 0) AS telemetry_event_count, coalesce(identity_event_count, 0) > 0 AS has_identity_event, coalesce(telemetry_event_count, 0) > 0 AS has_telemetry_event,
-  current_imei_format_valid, current_imsi_format_valid, current_iccid_format_valid
-FROM (SELECT device_serial, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM (
-    SELECT device_serial, event_timestamp AS ts FROM unique_telemetry UNION ALL SELECT device_serial, event_timestamp FROM unique_identities) GROUP BY device_serial)
-LEFT JOIN (SELECT device_serial, min(event_timestamp) AS first_identity_at, max(event_timestamp) AS last_identity_at, count(*) AS identity_event_count,
-    {_edge("arg_max", "imei")} AS current_imei, {_edge("arg_max", "imsi")} AS current_imsi, {_edge("arg_max", "iccid")} AS current_iccid,
-    {_edge("arg_max", "identity_auxiliary")} AS current_identity_auxiliary, {_edge("arg_max", "protocol_version")} AS identity_version,
-    {_edge("arg_max", "has_valid_imei_format")} AS current_imei_format_valid, {_edge("arg_max", "has_valid_imsi_format")} AS current_imsi_format_valid,
-    {_edge("arg_max", "has_valid_iccid_format")} AS current_iccid_format_valid FROM unique_identities GROUP BY device_serial) USING (device_serial)
-LEFT JOIN (SELECT device_serial, min(event_timestamp) AS first_telemetry_at, max(event_timestamp) AS last_telemetry_at, count(*) AS telemetry_event_count,
-    {_edge("arg_max", "protocol_version")} AS telemetry_version FROM unique_telemetry GROUP BY device_serial) USING (device_serial)""",
+SELECT device_serial, {_edge("arg_max", "imei", _OF_IDENTITY)} AS current_imei, {_edge("arg_max", "imsi", _OF_IDENTITY)} AS current_imsi, {_edge("arg_max", "iccid", _OF_IDENTITY)} AS current_iccid,
+  {_edge("arg_max", "identity_auxiliary", _OF_IDENTITY)} AS current_identity_auxiliary,
+  coalesce({_edge("arg_max", "protocol_version", _OF_IDENTITY)}, {_edge("arg_max", "protocol_version", "NOT of_identity")}) AS current_protocol_version,
+  min(event_timestamp) AS first_seen_at, max(event_timestamp) AS last_seen_at, min(event_timestamp) FILTER (of_identity) AS first_identity_at, max(event_timestamp) FILTER (of_identity) AS last_identity_at,
+  min(event_timestamp) FILTER (NOT of_identity) AS first_telemetry_at, max(event_timestamp) FILTER (NOT of_identity) AS last_telemetry_at,
+  count(*) FILTER (of_identity) AS identity_event_count, count(*) FILTER (NOT of_identity) AS telemetry_event_count, bool_or(of_identity) AS has_identity_event, bool_or(NOT of_identity) AS has_telemetry_event,
+  {_edge("arg_max", "has_valid_imei_format", _OF_IDENTITY)} AS current_imei_format_valid, {_edge("arg_max", "has_valid_imsi_format", _OF_IDENTITY)} AS current_imsi_format_valid,
+  {_edge("arg_max", "has_valid_iccid_format", _OF_IDENTITY)} AS current_iccid_format_valid
+FROM (SELECT *, true AS of_identity FROM unique_identities UNION ALL BY NAME SELECT device_serial, event_timestamp, row_id, batch_id, protocol_version, false AS of_identity FROM unique_telemetry)
+GROUP BY device_serial""",
     "quality_summary": """
-SELECT metric_date, coalesce(t.n, 0) AS telemetry_event_count, coalesce(i.n, 0) AS identity_event_count, coalesce(t.n, 0) + coalesce(i.n, 0) AS accepted_event_count,
-  coalesce(r.n, 0) AS rejected_event_count, coalesce(t.n, 0) + coalesce(i.n, 0) + coalesce(r.n, 0) AS total_event_count,
-  round(coalesce(r.n, 0) * 100.0 / nullif(coalesce(t.n, 0) + coalesce(i.n, 0) + coalesce(r.n, 0), 0), 4)::DOUBLE AS rejection_percentage,
-  coalesce(a, 0) AS missing_message_type_count, coalesce(b, 0) AS invalid_message_type_count, coalesce(c, 0) AS invalid_timestamp_count, coalesce(d, 0) AS missing_device_serial_count,
-  CAST(0 AS BIGINT) AS unknown_rejection_count
-FROM (SELECT event_date AS metric_date FROM telemetry UNION SELECT event_date FROM identities UNION SELECT rejection_date FROM rejected)
-LEFT JOIN (SELECT event_date AS metric_date, count(*) AS n FROM telemetry GROUP BY 1) t USING (metric_date)
-LEFT JOIN (SELECT event_date AS metric_date, count(*) AS n FROM identities GROUP BY 1) i USING (metric_date)
-LEFT JOIN (SELECT rejection_date AS metric_date, count(*) AS n, count(*) FILTER (rejection_reason = 'MISSING_MESSAGE_TYPE') AS a, count(*) FILTER (rejection_reason = 'INVALID_MESSAGE_TYPE') AS b,
-    count(*) FILTER (rejection_reason = 'MISSING_OR_INVALID_TIMESTAMP') AS c, count(*) FILTER (rejection_reason = 'MISSING_DEVICE_SERIAL') AS d FROM rejected GROUP BY 1) r USING (metric_date)""",
+SELECT metric_date, count(*) FILTER (kind = 'telemetry') AS telemetry_event_count, count(*) FILTER (kind = 'identity') AS identity_event_count, count(*) FILTER (kind <> 'rejected') AS accepted_event_count,
+  count(*) FILTER (kind = 'rejected') AS rejected_event_count, count(*) AS total_event_count, round(count(*) FILTER (kind = 'rejected') * 100.0 / count(*), 4)::DOUBLE AS rejection_percentage,
+  count(*) FILTER (reason = 'MISSING_MESSAGE_TYPE') AS missing_message_type_count, count(*) FILTER (reason = 'INVALID_MESSAGE_TYPE') AS invalid_message_type_count,
+  count(*) FILTER (reason = 'MISSING_OR_INVALID_TIMESTAMP') AS invalid_timestamp_count, count(*) FILTER (reason = 'MISSING_DEVICE_SERIAL') AS missing_device_serial_count, CAST(0 AS BIGINT) AS unknown_rejection_count
+FROM (
+  SELECT event_date AS metric_date, 'telemetry' AS kind, NULL AS reason FROM telemetry UNION ALL SELECT event_date, 'identity', NULL FROM identities
+  UNION ALL SELECT rejection_date, 'rejected', rejection_reason FROM rejected)
+GROUP BY metric_date""",
 }
 _SQL_DAYS = {
     "affected_dates": "SELECT event_date FROM days",
