@@ -166,6 +166,14 @@ def _letters(word: str) -> int:
     return bits
 
 
+def _reached(bits: int, skip: int) -> int:
+    """The next ``skip`` places after each bit."""
+    out = 0
+    for step in range(1, skip + 1):
+        out |= bits << step
+    return out
+
+
 class Item:
     """A passage prepared for alignment. ``formulas``: its sentences that stand in many items."""
 
@@ -174,6 +182,8 @@ class Item:
         self.words = [w for s in self.sentences for w in s]
         self.of = [i for i, s in enumerate(self.sentences) for _ in s]
         self.letters = "".join(self.words)
+        ends = np.cumsum([0, *map(len, self.sentences)]).tolist()
+        self.spans = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
         # letters of sentences that count
         known = set(formulas)
         self.counts = np.repeat([_sentence_key(s) not in known for s in self.sentences], [sum(map(len, s)) for s in self.sentences]).astype(bool)
@@ -207,12 +217,15 @@ class Item:
                 self.masks[word] = known
         return known
 
-    def carried(self, region: list[str], run_words: int = 4, skip: int = 3) -> list[int]:
+    def carried(self, region: list[str], run_words: int = 4, skip: int = 3, least: int = 15) -> list[int]:
         """Positions of passage words carried together: aligned words in runs that
         skip fewer than ``skip`` words on either side, short runs left out."""
+        masks = self.stand_for(region)
+        if not self.may_count(masks, run_words, skip, least):
+            return []
         out: list[int] = []
         run: list[tuple[int, int]] = []
-        for pair in [*self.align(region), (1 << 30, 1 << 30)]:
+        for pair in [*self.align(region, masks), (1 << 30, 1 << 30)]:
             if run and (pair[0] - run[-1][0] > skip or pair[1] - run[-1][1] > skip):
                 if len(run) >= run_words:
                     out += [p for p, _ in run]
@@ -220,17 +233,43 @@ class Item:
             run.append(pair)
         return out
 
-    def align(self, region: list[str]) -> list[tuple[int, int]]:
+    def stand_for(self, region: list[str]) -> list[int]:
+        """The passage words that each word of the region may stand for, alone or joined with the next."""
+        known, joined, out = self.masks, self.at, []
+        for w, following in zip(region, [*region[1:], ""]):
+            m = known.get(w)
+            out.append((self.mask(w) if m is None else m) | joined.get(w + following, 0))
+        return out
+
+    def may_count(self, masks: list[int], run_words: int, skip: int, least: int) -> bool:
+        """Whether words enough, or a whole sentence, may be matched at all, and some of them in a run."""
+        union = 0
+        for m in masks:
+            union |= m
+        if union.bit_count() < least and not any(s & union == s for s in self.spans):
+            return False
+        # ends[k]: passage words at which a run of k + 1 may end, for each of the last ``skip`` words of the region
+        ends = [[0] * skip for _ in range(run_words - 1)]
+        for i, now in enumerate(masks):
+            m, slot = now, i % skip
+            for last in ends:
+                before = 0
+                for x in last:
+                    before |= x
+                last[slot] = now
+                if now:
+                    now = m & _reached(before, skip) if before else 0
+            if now:
+                return True
+        return False
+
+    def align(self, region: list[str], masks: list[int] | None = None) -> list[tuple[int, int]]:
         """(passage word, region word) matched in order: a longest common subsequence."""
         n = len(self.words)
         full = (1 << n) - 1
         rows, v = [], full
-        known, joined = self.masks, self.at
-        for w, following in zip(region, [*region[1:], ""]):
-            m = known.get(w)
-            if m is None:
-                m = self.mask(w)
-            if u := v & (m | joined.get(w + following, 0)):
+        for m in self.stand_for(region) if masks is None else masks:
+            if u := v & m:
                 v = ((v + u) | (v - u)) & full
             rows.append(v)
         out, j = [], n - 1
@@ -336,7 +375,7 @@ class Index:
                     covered.append((i, j))
                     if not ((own >= starts[i]) & (own < starts[j])).any():  # formulas alone
                         continue
-                    yield item.id, item.carried(tokens[i:j], self.rules.run_words), item, sketch, i
+                    yield item.id, item.carried(tokens[i:j], self.rules.run_words, least=self.rules.min_words), item, sketch, i
 
 
 def _sentence_key(ws: list[str]) -> str:
