@@ -98,9 +98,20 @@ def _problem(status: int, text: str) -> Response:
     return status, {"detail": text}
 
 
+# fixed values: where the dashboard runs during development
+ORIGINS = ("http://localhost:8080", "http://127.0.0.1:8080", "http://localhost:5173", "http://127.0.0.1:5173")
+
+
 @dataclass
 class Service:
     lake: Lake
+    origins: tuple[str, ...] = ORIGINS
+
+    def cross_origin(self, origin: str | None) -> dict[str, str]:
+        """Headers for a page of that origin: any method and header, no credentials; none for other origins."""
+        if origin not in self.origins:
+            return {}
+        return {"Access-Control-Allow-Origin": origin, "Access-Control-Allow-Methods": "*", "Access-Control-Allow-Headers": "*", "Vary": "Origin"}
 
     def routes(self) -> dict[str, Callable[..., Response]]:
         return {
@@ -155,12 +166,25 @@ class Service:
         rows = quality_rows(self.table("data_quality_summary")).where(F.col("metric_date") == wanted).collect()
         return (200, _record(rows[0])) if rows else _problem(404, f"no quality summary of {wanted}")
 
-    def daily(self, date_from: date | None = None, date_to: date | None = None, device_serial: str | None = None) -> Response:
+    def daily(
+        self, date_from: date | None = None, date_to: date | None = None, device_serial: str | None = None, page_size: int | None = None, after: tuple[str, str] | None = None
+    ) -> Response:
+        """Days and devices in falling order. With ``page_size`` that many at most, and ``next``: what to give as
+        ``after`` for the following page (null: there is none). A page is found by its key, not by counting rows."""
         if date_from and date_to and date_from > date_to:
             return _problem(422, "date_from is after date_to")
+        if page_size is not None and page_size < 1:
+            return _problem(422, "page_size must be positive")
         df = daily_rows(self.table("device_daily_summary"), date_from, date_to, (device_serial or "").strip() or None)
-        rows = df.orderBy(F.desc("event_date"), F.desc("device_serial")).collect()
-        return 200, {"count": len(rows), "items": [_record(r) for r in rows]}
+        if after is not None:
+            day, device = after
+            df = df.where((F.col("event_date") < day) | ((F.col("event_date") == day) & (F.col("device_serial") < device)))
+        df = df.orderBy(F.desc("event_date"), F.desc("device_serial"))
+        rows = (df if page_size is None else df.limit(page_size + 1)).collect()
+        if page_size is None:
+            return 200, {"count": len(rows), "items": [_record(r) for r in rows]}
+        more, rows = len(rows) > page_size, rows[:page_size]
+        return 200, {"count": len(rows), "items": [_record(r) for r in rows], "next": [str(rows[-1]["event_date"]), rows[-1]["device_serial"]] if more else None}
 
     def daily_of(self, event_date: date, device_serial: str | None = None) -> Response:
         device = (device_serial or "").strip() or None

@@ -177,6 +177,10 @@ def test_service(lake):
     assert service.route(day, "nobody")[0] == 404
     inbox.write_csv(folders.inbox / "b.csv", [message(**{"S/N ou IMEI": "9"})])
     pipeline.run(lake, folders, AT)
+    page = service.daily(page_size=1)[1]
+    rest = service.daily(page_size=5, after=tuple(page["next"]))[1]
+    assert [*page["items"], *rest["items"]] == service.daily()[1]["items"] and page["count"] == 1 and rest["next"] is None and service.daily(page_size=0)[0] == 422
+    assert service.cross_origin("http://localhost:5173")["Access-Control-Allow-Origin"] == "http://localhost:5173" and service.cross_origin("http://elsewhere") == service.cross_origin(None) == {}
     assert service.route(day)[0] == 409 and service.daily_of(day)[0] == 409 and service.route(day, "9")[0] == 422
     with pytest.raises(ValueError, match="dim_device"):
         service.table("x")
