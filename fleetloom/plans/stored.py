@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.plans import pipeline
-from fleetloom.plans.products import _DAYS, _SPLIT, _SQL_TAIL, _daily, _splits, _stored, _with, affected_dates, daily_summary, logs
+from fleetloom.plans.products import _DAYS, _SPLIT, _SQL_TAIL, _daily, _dedup, _splits, _stored, _with, affected_dates, daily_summary, logs
 from fleetloom.session import shared_dir
 from fleetloom.sources import inbox, shared
 from fleetloom.sources.store import Files
@@ -168,3 +168,10 @@ FROM (SELECT DISTINCT ON (row_id) * FROM tracker_logs)""",
     "store_overwrite": 'SELECT ingestion_date, "MESS_TYPE", count(*) AS row_count FROM tracker_logs GROUP BY ALL',
     "store_evolved": f"{_SPLIT} SELECT {_COLUMNS} FROM (SELECT * REPLACE (NULL AS \"LAT\", NULL AS \"LONT\") FROM old UNION ALL SELECT * FROM new)",
 } | {k: f"{_STORED}, {_with('stored')} {_SQL_TAIL[t]}" for k, t in _LAKE.items()}
+# the read service's queries without a period, which are registered with the products
+SQL |= {
+    "api_daily_all": f"WITH {_dedup('telemetry_events', 'unique_telemetry')} SELECT event_date, device_serial, count(*) AS message_count, max(speed) AS maximum_speed FROM unique_telemetry GROUP BY ALL",
+    "api_route_all": """
+SELECT event_date, device_serial, count(*) AS point_count, arg_min(event_timestamp, point_sequence) AS start_at, arg_max(event_timestamp, point_sequence) AS end_at, max(speed) AS maximum_speed
+FROM device_route_points WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0) GROUP BY ALL""",
+}
