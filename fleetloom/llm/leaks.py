@@ -313,7 +313,7 @@ class Index:
         self.places = np.concatenate(places)[order] if hashes else np.zeros(0, np.int64)
         self.counts = np.concatenate(counts)[order] if hashes else np.zeros(0, bool)
         # low bits of the hashes there are: most of a text's are ruled out by one look
-        self.bits = np.uint64((1 << max(16, (4 * len(flat)).bit_length())) - 1)
+        self.bits = np.uint64((1 << max(16, (32 * len(flat)).bit_length())) - 1)
         self.there = np.zeros(int(self.bits) + 1, bool)
         self.there[self.hashes & self.bits] = True
 
@@ -344,20 +344,21 @@ class Index:
             return
         q, owner, place, counts = q[kept], owner[kept], place[kept], counts[kept]
         # a carried span lies on one diagonal, insertions and damage aside
-        starts = np.cumsum([0, *map(len, tokens)])
         bands: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for phase in (0, self.rules.band // 2):
             key = owner * (1 << 40) + (q - place + phase) // self.rules.band + (1 << 39)
-            order = np.lexsort((q, key))
+            order = key.argsort(kind="stable")  # hits come in the order of the text
             k = key[order]
-            cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            sizes = np.diff(np.r_[cuts, len(k)])
-            for c in np.flatnonzero(sizes >= self.rules.min_hits).tolist():
-                part = order[cuts[c] : cuts[c] + sizes[c]]
-                n = int(owner[part[0]])
-                found = (len(np.unique(place[part])), int(q[part[0]]), int(q[part[-1]]))
-                if found[0] >= self.rules.min_hits:
-                    bands[n].append(found)
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b - a >= self.rules.min_hits:
+                    part = order[a:b]
+                    found = (len(set(place[part].tolist())), int(q[part[0]]), int(q[part[-1]]))
+                    if found[0] >= self.rules.min_hits:
+                        bands[int(owner[part[0]])].append(found)
+        if not bands:
+            return
+        starts = np.cumsum([0, *map(len, tokens)])
         for n, found in bands.items():
             item = self.items[n]
             mine = owner == n
